@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, langid, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mix": mixing.op2,
+        "op4_language_id": langid.op4,
         "op6_rendezvous_shards": sharding.op6,
+        "op10_byte_bpe": bpe.op10,
     }
 
 
