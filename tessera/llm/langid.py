@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 from .common import bounded_batches, slices, utf8_view
 from .ngrams import drop_tails, gram_counts, gram_hashes, letters_only, row_sums
 
-BITS, DIM, GRAMS = 15, 16, (2, 3, 4)
+BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
 #: Bounds of the training sample: rows per language, rows in all, bytes of one text.
 PER_LANGUAGE, MOST_ROWS, MOST_BYTES = 600, 4000, 1 << 16
 UNKNOWN = "und"
 #: A row is rejected if its calibrated score says that the prediction is likelier wrong than right,
 #: or if training saw less than this part of the grams that the poorest hundredth of the calibration
 #: rows had seen (text of no learned language).
-BAR, KNOWN_SHARE = 0.5, 0.6
+BAR, KNOWN_SHARE = 0.5, 0.75
 
 
 def fold(doc_id: Column) -> Column:
