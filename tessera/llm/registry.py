@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding
+from . import bpe, langid, minhash, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mix": mixing.op2,
         "op4_language_id": langid.op4,
         "op6_rendezvous_shards": sharding.op6,
+        "op7_minhash_near_dedup": minhash.op7,
         "op10_byte_bpe": bpe.op10,
     }
 
