@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, sharding
+from . import bpe, embedding_dedup, langid, minhash, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": langid.op4,
         "op6_rendezvous_shards": sharding.op6,
         "op7_minhash_near_dedup": minhash.op7,
+        "op9_embedding_near_dedup": embedding_dedup.op9,
         "op10_byte_bpe": bpe.op10,
     }
 
