@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash, mixing, sharding
+from . import bpe, embedding_dedup, langid, minhash, mixing, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mix": mixing.op2,
         "op4_language_id": langid.op4,
+        "op5_secret_scan": secret_scan.op5,
         "op6_rendezvous_shards": sharding.op6,
         "op7_minhash_near_dedup": minhash.op7,
         "op9_embedding_near_dedup": embedding_dedup.op9,
