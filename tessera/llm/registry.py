@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash, mixing, secret_scan, sharding
+from . import bpe, embedding_dedup, langid, minhash, mixing, mpeg_audio, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": secret_scan.op5,
         "op6_rendezvous_shards": sharding.op6,
         "op7_minhash_near_dedup": minhash.op7,
+        "op8_mpeg_audio": mpeg_audio.op8,
         "op9_embedding_near_dedup": embedding_dedup.op9,
         "op10_byte_bpe": bpe.op10,
     }
