@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash, mixing, mpeg_audio, secret_scan, sharding
+from . import bpe, embedding_dedup, langid, minhash, mixing, mpeg_audio, quality, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mix": mixing.op2,
+        "op3_quality_votes": quality.op3,
         "op4_language_id": langid.op4,
         "op5_secret_scan": secret_scan.op5,
         "op6_rendezvous_shards": sharding.op6,
