@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash, mixing, mpeg_audio, quality, secret_scan, sharding
+from . import bpe, embedding_dedup, langid, line_dedup, minhash, mixing, mpeg_audio, quality, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1,
         "op2_source_mix": mixing.op2,
         "op3_quality_votes": quality.op3,
         "op4_language_id": langid.op4,
