@@ -7,7 +7,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +213,10 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``doc_id``, number of tokens and digests of the ids and of the bytes they decode to, for every
-    row of ``docs`` (``doc_id, text``). Ids stay inside the worker, so neither they nor the decoded
-    texts are shipped. A null text is empty: no ids, digests of nothing."""
+    row of ``docs`` (``doc_id, text``), and the ids themselves if asked for; otherwise they stay
+    inside the worker. A null text is empty: no ids, digests of nothing."""
     bounded_batches(docs.sparkSession)
     shared = _broadcast(docs.sparkSession, path)
     docs = docs.select("doc_id", "text")
@@ -225,19 +225,24 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokenizer = _tokenizer(shared, pattern)
         name = tokenizer.text_of.__getitem__
         for batch in batches:
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, kept = [], [], [], []
             for text in batch.column(1):
                 ids = tokenizer.encode(text.as_py())
                 counts.append(len(ids))
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
                 coded.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(tokenizer.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = pa.array([0, *accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

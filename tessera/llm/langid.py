@@ -220,6 +220,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, all columns as they were."""
+    made = {"lang_pred", "score", "rejected"}
+    away = {c: f"_{c}_of_row" for c in docs.columns if c.lower() in made}
+    out = predict(docs.withColumnsRenamed(away), model).filter(~F.col("rejected"))
+    return out.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def fit(docs: DataFrame) -> LanguageModel:
     rows = training_rows(docs)
     return train([t for t, _ in rows], [x for _, x in rows])

@@ -160,13 +160,13 @@ def _set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``doc_id, n_shingles, d0, d1, keys, odd`` of each row of ``docs`` (``doc_id, text``)."""
+    """``doc_id, text_hash, n_shingles, d0, d1, keys, odd`` of each row of ``docs`` (``doc_id, text``)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8_view(batch.column(1))
+            data, offsets = utf8_view(batch.column(2))
             n = batch.num_rows
             sizes, d0, d1 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             keys: list = [None] * n
@@ -182,13 +182,13 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
                     sizes[row], (d0[row], d1[row]) = len(sets[i]), _set_digest(sets[i])
                     keys[row], odd[row] = k, o
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(d0), pa.array(d1), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "d0", "d1", "keys", "odd"],
+                [*batch.columns[:2], pa.array(sizes), pa.array(d0), pa.array(d1), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "d0", "d1", "keys", "odd"],
             )
 
     longs = T.ArrayType(T.LongType())
     return docs.mapInArrow(run, T.StructType([
-        docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "d0", "d1")],
+        docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "n_shingles", "d0", "d1")],
         T.StructField("keys", longs), T.StructField("odd", longs),
     ]))
 
@@ -231,16 +231,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.filter(common * 100 >= union * plan.part).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, n_copies`` of every row of ``docs`` (``doc_id, text``).
-
-    ``component_id`` is the least doc_id that links reach; rows of equal sets are linked, whatever
-    their doc_id. Rows without words have no shingles and are linked with nothing: their component
-    is their own id. A null id is above all others and is a component's id only where it holds no
-    other; ``kept`` says whether the row's id is the component's (rows that repeat an id are kept or
-    not together). An empty table gives no rows. Columns but doc_id and text are not read.
-    """
-    plan = Plan(words, part)
+def grouped(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, comp, component_id, n_copies`` of every row; ``comp`` numbers
+    the components, null without shingles."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketches(docs, plan), "nd-sketches")
     full = rows.filter("n_shingles > 0")
@@ -252,13 +245,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80) -> DataFram
     comps = components(links).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
     named = classes.select("cid", "rep", "d0", "d1", "n_copies").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "component_id", "n_copies")
+    named = named.join(least, "comp").select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "comp", "component_id", "n_copies")
     out = rows.join(named, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & (F.col("n_shingles") > 0), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-    )
+    return out.select("doc_id", "text_hash", "n_shingles", "comp", own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, n_copies`` of every row of ``docs`` (``doc_id, text``).
+
+    ``component_id`` is the least doc_id that links reach; rows of equal sets are linked, whatever
+    their doc_id. Rows without words have no shingles and are linked with nothing: their component
+    is their own id. A null id is above all others and is a component's id only where it holds no
+    other; ``kept`` says whether the row's id is the component's (rows that repeat an id are kept or
+    not together). An empty table gives no rows. Columns but doc_id and text are not read.
+    """
+    out = grouped(docs, Plan(words, part))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "n_copies")
+
+
+def keep_one(docs: DataFrame, words: int = 5, part: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: that of the least doc_id, null ids last,
+    among those the one of the least text hash. Rows without words all stay. All columns pass
+    through."""
+    rows = materialize(grouped(docs, Plan(words, part)).select("doc_id", "text_hash", "n_shingles", "comp"), "nd-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    some = rows.filter("n_shingles > 0")
+    first = some.groupBy("comp").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_th"), F.lit(False).alias("_bare"))
+    bare = rows.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.lit(True).alias("_bare")).distinct()
+    stay = materialize(first.unionAll(bare), "nd-stay")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    out = whole.join(stay.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
+    if not some.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        out = out.filter("_bare").unionAll(out.filter("not _bare").dropDuplicates(["_doc", "_hash"]))
+    return out.select("row.*")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
