@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
+"""The queries of this subpackage; ``oracle_sql`` for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embedding_dedup, langid, line_dedup, minhash, mixing, mpeg_audio, quality, secret_scan, sharding
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +25,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_near_dedup": embedding_dedup.op9,
         "op10_byte_bpe": bpe.op10,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-#: Rows in a slot bucket on average; the number of buckets grows with the table.
-BUCKET_ROWS = 20_000
+#: Rows of all shards together in one slot bucket; the number of buckets grows with the table.
+SLOT_ROWS = 320_000
 
 
 PRIME = (1 << 31) - 1
@@ -59,16 +59,16 @@ def rendezvous_shards(df: DataFrame, key: str, weights: Sequence[float], grown:
     return halves.select(*[F.col("row").getField(c).alias(c) for c in kept], *made)
 
 
-def with_slots(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def with_slots(df: DataFrame, spread: Column, order: Sequence[str]) -> DataFrame:
     """``df`` (with ``shard``) plus ``slot``, gapless from 0 in each shard.
 
-    No task sees a whole shard: rows fall into hash buckets whose number follows the row count,
-    each bucket numbers its own rows by ``order``, and the buckets' running totals shift them.
-    Rows equal in all of ``order`` may swap slots with each other.
+    No task sees a whole shard: rows fall into buckets by ``spread`` (a non-negative long, even over
+    the rows), whose number follows the row count; each bucket numbers its own rows by ``order``,
+    and the buckets' running totals shift them. Rows equal in all of ``order`` may swap slots.
     """
     rows = materialize(df, "shard-rows")
-    buckets = max(1, -(-rows.count() // (BUCKET_ROWS * 16)))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-rows.count() // SLOT_ROWS))
+    rows = rows.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     totals = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -87,5 +87,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = rendezvous_shards(facts, "doc_id", [1.0] * 16, [1.0] * 17)
-    out = with_slots(placed, "doc_id", ["doc_id", "text_crc32", "size"])
+    # copies of one text and rows that repeat one id both spread over the buckets
+    spread = key_halves(F.col("doc_id"))[0] + F.col("text_crc32")
+    out = with_slots(placed, spread, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
