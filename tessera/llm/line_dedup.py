@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Each shared line names, for every document that holds it, the earliest document that does: at most
-one partner per line, however common the line, so partners grow with the lines and not with their
-pairs. A rare line (in at most RARE documents) is enough to align a pair; common lines are only if
-together they hold enough words to make a block. A pair is aligned with patience diff over line
+Lines are hashed; a line too short to matter is joined with the lines after it, and once more with
+those before it, until the run holds ``least_words`` words. Such runs are rare where lines are not:
+a common heading names no partner, a shared passage does. Every block of at least ``least_words``
+words that two documents share consists of runs that both have. Each run names, for every document
+that holds it, the earliest document that does: at most one partner per run, however many hold it, so
+partners grow with the lines and not with their pairs. A pair is aligned with patience diff over line
 hashes, and runs of aligned lines with at least ``least_words`` words go from the later document.
 What goes from a document always stays in an earlier one, and the earliest holder keeps it.
 """
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, materialize
+from .common import WORD, bounded_batches, materialize, mix64
 
-LEAST_WORDS, RARE = 40, 100
+LEAST_WORDS = 40
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,11 +131,43 @@ def _masks(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.list_(pa.bool_())), pa.array(gone, pa.string())], ["rid", "keep", "removed"])
 
 
+def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each shortest run of lines that holds ``least_words`` words, from every line
+    with words onward and from every such line back; rows are stretches of ``marks`` by ``offsets``."""
+    n = len(marks)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(words > 0)
+    ends = np.searchsorted(total, total[at] + least_words)  # first end with enough words
+    onward = np.stack([at, ends, row[at]])[:, ends <= offsets[row[at] + 1]]
+    starts = np.searchsorted(total, total[at + 1] - least_words, side="right") - 1
+    back = np.stack([starts, at + 1, row[at]])[:, starts >= offsets[row[at]]]
+    low, high, rows = np.concatenate([onward, back], 1)
+    powers = lambda base: np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(marks.view(np.uint64)) * powers(_BASE)[:n], dtype=np.uint64)])
+    keys = mix64((sums[high] - sums[low]) * powers(_INVERSE)[low] + (high - low).astype(np.uint64))
+    return rows, keys.view(np.int64)
+
+
+def _run_keys(least_words: int):
+    def run(batches):
+        for batch in batches:
+            marks = batch.column(1)
+            offsets = marks.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            rows, keys = run_keys(np.ascontiguousarray(marks.flatten().to_numpy()), batch.column(2).flatten().to_numpy().astype(np.int64), offsets, least_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys)], ["rid", "key"])
+
+    return run
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``id, digest, keep, removed, donors`` of each document (``id, text``) that loses lines."""
     bounded_batches(docs.sparkSession)
     bare = lambda line: F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
@@ -140,19 +176,15 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE)
         "id", "digest",
         F.transform("lines", lambda x: F.xxhash64(F.lit(1), bare(x))).alias("marks"),
         F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
-        F.transform("lines", lambda x: F.xxhash64(bare(x))).alias("keys"),
     )
     docs = materialize(docs, "ld-lines").dropDuplicates(["id", "digest"])
     # ids in document order, so the earliest of many is a plain minimum
     docs = docs.orderBy(F.col("id").asc_nulls_last(), "digest").withColumn("rid", F.monotonically_increasing_id())
     docs = materialize(docs, "ld-ordered")
 
-    lines = docs.select("rid", F.explode(F.array_distinct(F.filter(F.arrays_zip("keys", "words"), lambda x: x["words"] > 0))).alias("line"))
-    lines = lines.select("rid", F.col("line.keys").alias("key"), F.col("line.words").alias("n"))
-    leads = lines.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("df")).filter("df > 1")
-    shared = lines.join(leads, "key").filter("rid <> lead")
-    pairs = shared.groupBy("rid", "lead").agg(F.min("df").alias("df"), F.sum("n").alias("n"))
-    pairs = materialize(pairs.filter((F.col("df") <= rare) | (F.col("n") >= least_words)).select("rid", "lead"), "ld-pairs")
+    runs = docs.select("rid", "marks", "words").mapInArrow(_run_keys(least_words), "rid long, key long")
+    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead < last").select("key", "lead")
+    pairs = materialize(runs.join(leads, "key").filter("rid <> lead").select("rid", "lead").distinct(), "ld-pairs")
 
     later = docs.select("rid", F.col("marks").alias("b"), "words")
     earlier = docs.select(F.col("rid").alias("lead"), F.col("marks").alias("a"))
@@ -166,18 +198,18 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE)
     return masks.join(per.select("rid", "id", "digest", "donors"), "rid").drop("rid")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """``row`` (the row of ``docs`` with what is left of its ``text``), ``n_lines``, ``n_removed``,
     ``removed`` (ranges of line numbers from 0, end exclusive) and ``donors`` (keys of the earlier
     documents that keep the removed lines).
 
     Documents are ordered by key, null keys last; rows that repeat both key and text are one
     document and are treated alike, rows that repeat a key only are ordered by a hash of their text.
-    Lines compare by their words, so white space does not matter; blank lines align but name no
-    partner. Null texts stay null and have no lines. A text whose lines all go becomes empty.
+    Lines compare by their words, so white space does not matter; blank lines align but start no
+    run. Null texts stay null and have no lines. A text whose lines all go becomes empty.
     Extra columns pass through. An empty table gives no rows.
     """
-    gone = materialize(deletions(docs.select(F.col(key).alias("id"), "text"), least_words, rare), "ld-masks")
+    gone = materialize(deletions(docs.select(F.col(key).alias("id"), "text"), least_words), "ld-masks")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
     out = rows.join(gone.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("digest")), "left")
     lines = _lines(F.col("_text"))
