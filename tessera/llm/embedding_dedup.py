@@ -3,8 +3,11 @@ buckets, connected components over the links.
 
 Bits per table follow the number of distinct vectors, so buckets keep their size, and the number of
 tables follows the bits, so that a pair at the threshold shares no bucket with a probability below
-MISS. A bucket is compared in blocks as matrix products; a pair counts only in the first table in
-which it meets, so counts need no list of pairs, and a block sends on one row per linked vector.
+MISS. Buckets first hold ids and 128 further signs only: a vector goes to a bucket's exact comparison
+if some other there differs in few of those signs (SLACK deviations beyond what a pair at the
+threshold shows). Exact cosines are matrix products over blocks of a bucket; a pair counts only in
+the first table in which it meets, so counts need no list of pairs, and a block sends on one row per
+linked vector.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from .common import bounded_batches, materialize
 from .components import components
 
 MISS, BUCKET, BLOCK, SEED = 1e-6, 64, 1024, 90_001
+SIGNS, SLACK = 128, 7.0
 
 
 def tables_for(distinct: int, cosine: float) -> tuple[int, int]:
@@ -29,6 +33,12 @@ def tables_for(distinct: int, cosine: float) -> tuple[int, int]:
     return bits, 1 if agree >= 1 else math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
+def most_different(cosine: float) -> int:
+    """Signs in which a pair at the threshold or nearer may differ."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return math.floor(SIGNS * p + SLACK * math.sqrt(SIGNS * p * (1 - p)))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -47,16 +57,18 @@ def _codes(bits: int, tables: int):
         weights = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
             vectors = _matrix(batch.column(1))
-            out = np.zeros((len(vectors), tables), np.int64)
+            out, apart = np.zeros((len(vectors), tables), np.int64), np.zeros((len(vectors), 2), np.int64)
             lengths = np.array([len(v) for v in vectors])
             for dim in np.unique(lengths).tolist():
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
+                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, SIGNS + bits * tables))
                 rows = np.flatnonzero(lengths == dim)
                 signs = _unit(np.stack([vectors[i] for i in rows])) @ planes[dim] >= 0
-                out[rows] = signs.reshape(len(rows), tables, bits) @ weights
+                out[rows] = signs[:, SIGNS:].reshape(len(rows), tables, bits) @ weights
+                apart[rows] = np.packbits(signs[:, :SIGNS], axis=1, bitorder="little").view(np.int64)
             codes = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables), pa.array(out.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], ["cid", "embedding", "n_copies", "codes"])
+            signs = [pa.array(np.ascontiguousarray(apart[:, i])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes, *signs], ["cid", "embedding", "n_copies", "codes", "s0", "s1"])
 
     return run
 
@@ -100,43 +112,80 @@ def _block_links(table: int, same: bool, cid, copies, codes, vectors, blocks, fi
     return cid[some], links[some].astype(np.int64), cid[root[some]]
 
 
-def _search(cosine: float):
-    """Runs of rows of one (table, code, dim, pair of blocks), as sorted; a run may span batches."""
+def _groups(batches):
+    """Rows of one (table, code, dim, pair of blocks), as sorted; such a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(5)])
+        cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            now = tuple(key[:, a].tolist())
+            if held and now != held_key:
+                yield held_key, held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held_key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held_key, held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _flush(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*parts), schema)], schema=schema)
 
-    def groups(batches):
-        held: list[pa.RecordBatch] = []
-        held_key = None
-        for batch in batches:
-            key = np.stack([batch.column(i).to_numpy() for i in range(5)])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                now = tuple(key[:, a].tolist())
-                if held and now != held_key:
-                    yield held_key, pa.Table.from_batches(held).combine_chunks()
-                    held = []
-                held_key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield held_key, pa.Table.from_batches(held).combine_chunks()
+
+def _promising(most: int):
+    """Rows of a group that differ from some other row of it in at most ``most`` signs."""
+
+    def run(batches):
+        schema = pa.schema([(c, pa.int32()) for c in ("t", "code", "dim", "b0", "b1", "block")] + [("cid", pa.int64())])
+        parts, size = [], 0
+        for (_, _, _, b0, b1), rows in _groups(batches):
+            if rows.num_rows < 2:
+                continue
+            block = rows.column(5).to_numpy()
+            s0, s1 = (rows.column(i).to_numpy().view(np.uint64) for i in (7, 8))
+            left = np.arange(len(block)) if b0 == b1 else np.flatnonzero(block == b0)
+            right = left if b0 == b1 else np.flatnonzero(block != b0)
+            differ = np.bitwise_count(s0[left, None] ^ s0[right]).astype(np.int16) + np.bitwise_count(s1[left, None] ^ s1[right])
+            if b0 == b1:
+                np.fill_diagonal(differ, SIGNS)
+            near = differ <= most
+            some = np.union1d(left[near.any(1)], right[near.any(0)])
+            if len(some):
+                parts.append(tuple(rows.column(i).to_numpy()[some] for i in range(7)))
+                size += len(some)
+            if size > 50_000:
+                yield _flush(parts, schema)
+                parts, size = [], 0
+        if parts:
+            yield _flush(parts, schema)
+
+    return run
+
+
+def _search(cosine: float):
+    """Exact links of each group."""
 
     def run(batches):
         schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
         parts, size = [], 0
-        for (table, _, _, b0, b1), rows in groups(b for b in batches if b.num_rows):
+        for (table, _, _, b0, b1), rows in _groups(batches):
             if rows.num_rows < 2:
                 continue
-            column = lambda name: rows.column(name).combine_chunks() if rows.column(name).num_chunks != 1 else rows.column(name).chunk(0)  # noqa: B023, E731
-            numbers = {c: column(c).to_numpy() for c in ("block", "cid", "n_copies")}
-            codes, vectors = np.stack(_matrix(column("codes"))), np.stack(_matrix(column("embedding")))
-            found = _block_links(table, b0 == b1, numbers["cid"], numbers["n_copies"], codes, vectors, numbers["block"], b0, cosine)
+            blocks, cid, copies = (rows.column(i).to_numpy() for i in (5, 6, 7))
+            codes, vectors = np.stack(_matrix(rows.column(8))), np.stack(_matrix(rows.column(9)))
+            found = _block_links(table, b0 == b1, cid, copies, codes, vectors, blocks, b0, cosine)
             if found:
                 parts.append(found)
                 size += len(found[0])
             if size > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
+                yield _flush(parts, schema)
                 parts, size = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
+            yield _flush(parts, schema)
 
     return run
 
@@ -168,19 +217,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     bits, tables = tables_for(classes.count(), cosine)
     element = classes.schema["embedding"].dataType.elementType.simpleString()
     coded = classes.select("cid", "embedding", "n_copies").mapInArrow(
-        _codes(bits, tables), f"cid long, embedding array<{element}>, n_copies long, codes array<int>"
+        _codes(bits, tables), f"cid long, embedding array<{element}>, n_copies long, codes array<int>, s0 long, s1 long"
     )
-    coded = materialize(coded, "ed-coded").withColumn("dim", F.size("embedding"))
-    entries = coded.select("cid", "dim", F.posexplode("codes").alias("t", "code"))
-    buckets = entries.groupBy("t", "code", "dim").agg(F.count("*").alias("n")).filter("n > 1")
-    members = coded.select("*", F.posexplode("codes").alias("t", "code")).join(buckets, ["t", "code", "dim"])
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    coded = materialize(coded, "ed-coded")
+    thin = coded.select("cid", "s0", "s1", F.size("embedding").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    buckets = thin.groupBy("t", "code", "dim").agg(F.count("*").alias("n")).filter("n > 1")
+    members = thin.join(buckets, ["t", "code", "dim"])
+    members = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select(
-        "t", "code", "dim", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "cid", "n_copies", "codes", "embedding"
-    )
     group = ["t", "code", "dim", "b0", "b1"]
+    members = members.select("t", "code", "dim", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "cid", "s0", "s1")
+    members = members.repartition(*group).sortWithinPartitions(*group).mapInArrow(
+        _promising(most_different(cosine)), "t int, code int, dim int, b0 int, b1 int, block int, cid long"
+    )
+    members = materialize(members, "ed-promising").join(coded.select("cid", "n_copies", "codes", "embedding"), "cid")
+    members = members.select(*group, "block", "cid", "n_copies", "codes", "embedding")
     found = members.repartition(*group).sortWithinPartitions(*group).mapInArrow(_search(cosine), "cid long, links long, root long")
     found = materialize(found, "ed-links")
     comps = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
