@@ -26,7 +26,7 @@ def gram_hashes(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     n - 1 starts, and those in the last n - 1 bytes of a row, hold no gram of the row."""
     size = len(data)
     value = np.zeros(size, np.uint32)
-    for j in range(n):
+    for j in range(min(n, size)):
         value[: size - j] <<= np.uint32(8)
         value[: size - j] |= data[j:]
     value *= _FACTORS[n]
