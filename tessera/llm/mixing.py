@@ -1,6 +1,6 @@
 """Mixing sources to target weights: equal-token blocks apportioned by Sainte-Laguë.
 
-Documents of a source are split by a stable hash into shards whose number follows the row count;
+Documents of a source are split by a stable hash into shards whose number follows its row count;
 inside a shard they form one token stream in seeded order, cut into blocks of equal size. Sources
 get whole blocks by highest quotients ``target / (2k + 1)``, a source's blocks go to its shards in
 the same way by the shards' block counts, and each shard takes its quota as whole passes over its
@@ -98,10 +98,10 @@ def _sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float, block: int, seed: int) -> tuple[DataFrame, int]:
+def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """One row for each source and shard (tokens, blocks, quota, start of the run, and the source's
-    size and target), and the number of shards. ``sizes`` is read twice, so give a written table.
-    One row per source reaches the driver: sources are a registry, not data."""
+    size and target), and the number of shards of each source. ``sizes`` is read twice, so give a
+    written table. One row per source reaches the driver: sources are a registry, not data."""
     spark = sizes.sparkSession
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -109,12 +109,12 @@ def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float
     targets = capped_targets(totals, [weight_of(i) for i in range(len(totals))], share)
     caps = np.array([2 * (-(-s // block)) for s in totals], np.int64)
     quotas = sainte_lague(np.array(targets), round(sum(targets) / block), caps) if totals else np.zeros(0, np.int64)
-    shards = max(1, -(-sum(r["rows"] for r in by_source) // SHARD_ROWS))
+    shards = spark.createDataFrame([(r["source"], -(-r["rows"] // SHARD_ROWS)) for r in by_source], "shards_source string, shards long")
     facts = spark.createDataFrame(
         [(r["source"], i, totals[i], float(targets[i]), int(quotas[i])) for i, r in enumerate(by_source)],
         "source string, source_no int, source_size long, target double, source_quota long",
     )
-    per_shard = sizes.withColumn("shard", _shard(shards, seed)).groupBy("source", "shard").agg(F.sum("size").alias("tokens"))
+    per_shard = _sharded(sizes, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("tokens"))
     per_shard = per_shard.join(facts, per_shard["source"].eqNullSafe(facts["source"])).drop(facts["source"])
     plan = per_shard.groupBy("source_no").applyInPandas(
         _shard_quotas(block, seed),
@@ -124,17 +124,18 @@ def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float
     return materialize(plan.join(names, "source_no").withColumnRenamed("shard", "plan_shard"), "mix-plan"), shards
 
 
-def _shard(shards: int, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash"), F.lit(shards)).cast("int")
+def _sharded(docs: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
+    docs = docs.join(shards, docs["source"].eqNullSafe(shards["shards_source"]))
+    return docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash"), F.col("shards")).cast("int"))
 
 
-def placed(docs: DataFrame, plan: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
+def placed(docs: DataFrame, plan: DataFrame, shards: DataFrame, block: int, seed: int) -> DataFrame:
     """``docs`` (with ``doc_id, source, size, text_hash``) with what the mix takes of each row:
     ``passes`` whole copies, then the words ``first`` to ``first_end`` and ``second`` to
     ``second_end`` of it, ``taken`` in all. Rows equal in id, size and text may swap places."""
     order = [F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_hash"), "doc_id", "size", "text_hash"]
     before = W.partitionBy("source", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = docs.withColumn("shard", _shard(shards, seed)).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    out = _sharded(docs, shards, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     out = out.join(plan, out["source"].eqNullSafe(plan["plan_source"]) & (out["shard"] == plan["plan_shard"]))
     n, zero = F.greatest(F.col("blocks"), F.lit(1)), F.lit(0).cast("long")
     run, at, size = F.col("quota") % n, F.col("at"), F.col("size")
