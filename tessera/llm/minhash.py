@@ -7,7 +7,7 @@
 2. Texts of equal sets are one class; only classes go on, so copies cost nothing more.
 3. Each class is tried against the least class of each of its buckets (linear in the classes); sizes
    and sketches turn away what cannot be near, full sets confirm the rest.
-4. Buckets that still hold several components are searched in full: in blocks, pairs of classes of
+4. Buckets that still hold several components are searched in full: by pairs of blocks, classes of
    different components that sizes and sketches let pass are confirmed on full sets. So no pair that
    shares a bucket is left undecided, and no pair inside a settled component is ever formed.
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import bounded_batches, materialize, mix64, slices, utf8_view
 from .components import components
@@ -32,7 +33,7 @@ from .components import components
 MISS, BANDS, SLACK = 1e-8, 36, 6.0
 #: Bits of an odd sketch, in longs of 64.
 SKETCH_LONGS = 8
-#: Classes of a bucket in one block; a larger bucket is searched block by block.
+#: Classes of a bucket in one block; a larger bucket is searched by pairs of blocks.
 BLOCK = 256
 
 _SPACE = np.zeros(256, bool)
@@ -301,7 +302,7 @@ def class_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     links = materialize(confirmed(pairs, sets, plan), "nd-links")
 
     comps = components(links).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
-    labelled = members.select("key", "cid", "n").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labelled = members.select("key", "cid").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     labelled = materialize(labelled, "nd-labelled")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
     rows = labelled.join(open_, "key").join(facts, "cid")
@@ -316,16 +317,38 @@ def _fetch(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (``key, comp, cid, ...``) with ``block`` and, within the bucket's ``total`` blocks, the
+    range ``low`` to ``high`` that holds the row's component alone (empty in mixed blocks).
+
+    A component with BLOCK classes or more in a bucket has blocks of its own, so no two of its
+    classes ever meet; the smaller ones share mixed blocks, which come first."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    parts = materialize(parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.ceil(F.col("m") / F.lit(BLOCK))).otherwise(F.lit(0)).cast("int")), "nd-parts")
+    mixed = F.sum(F.when(F.col("own") == 0, F.col("m")).otherwise(F.lit(0)))
+    totals = parts.groupBy("key").agg(F.ceil(mixed / F.lit(BLOCK)).cast("int").alias("mixed"), F.sum("own").cast("int").alias("owned"))
+    before = W.partitionBy("key").orderBy("comp").rowsBetween(W.unboundedPreceding, -1)  # at most 1 / BLOCK of the rows
+    large = parts.filter("own > 0").select("key", "comp", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("skip"))
+    rows = rows.join(totals, "key").join(large, ["key", "comp"], "left")
+    pure = F.col("own").isNotNull()
+    spread = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    low = F.when(pure, F.col("mixed") + F.col("skip")).otherwise(F.lit(0))
+    rows = rows.withColumn("low", low).withColumn("high", F.col("low") + F.coalesce("own", F.lit(0))).withColumn("total", F.col("mixed") + F.col("owned"))
+    return rows.withColumn("block", F.when(pure, F.col("low") + spread(F.greatest("own", F.lit(1)))).otherwise(spread(F.greatest("mixed", F.lit(1)))))
+
+
 def _block_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Distinct ``(u, v)`` of one bucket but different components that may link. A bucket of n
-    classes is cut into blocks of about BLOCK; each pair of blocks is one group of the join, and the
-    join's condition turns pairs away before they become rows."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    left = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
-    right = rows.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other"))
-    left = left.select("key", F.col("block").alias("b0"), F.col("other").alias("b1"), F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"))
-    right = right.select("key", F.col("other").alias("b0"), F.col("block").alias("b1"), F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n_shingles").alias("ny"), F.col("odd").alias("oy"))
+    """Distinct ``(u, v)`` of one bucket but different components that may link. Each pair of blocks
+    that can hold such a pair is one group of the join, and the join's condition turns pairs away
+    before they become rows; a settled component's own pairs cost nothing."""
+    rows = _blocks(rows)
+    pure = F.col("high") > F.col("low")
+    none = F.array().cast("array<int>")
+    upto = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    ahead = upto(F.when(pure, F.col("high")).otherwise(F.col("block")), F.col("total") - 1)
+    behind = upto(F.lit(0), F.when(pure, F.col("low") - 1).otherwise(F.col("block")))
+    left = rows.select("key", F.col("block").alias("b0"), F.explode(ahead).alias("b1"), F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"))
+    right = rows.select("key", F.explode(behind).alias("b0"), F.col("block").alias("b1"), F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n_shingles").alias("ny"), F.col("odd").alias("oy"))
     pairs = left.join(right, ["key", "b0", "b1"]).filter(
         (F.col("cx") != F.col("cy")) & ((F.col("b0") != F.col("b1")) | (F.col("x") < F.col("y"))) & may_link(plan, *map(F.col, ("nx", "ny", "ox", "oy")))
     )
