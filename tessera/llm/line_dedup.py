@@ -210,11 +210,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_W
     Extra columns pass through. An empty table gives no rows.
     """
     gone = materialize(deletions(docs.select(F.col(key).alias("id"), "text"), least_words), "ld-masks")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"))
     out = rows.join(gone.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("digest")), "left")
-    lines = _lines(F.col("_text"))
+    before = F.col("row.text")  # the row is shipped once; its text is no column beside it
+    lines = _lines(before)
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.col("keep").alias("keep")), lambda x: x["keep"]), lambda x: x["line"])
-    text = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("keep").isNull(), before).otherwise(F.array_join(kept, "\n"))
     dropped = F.coalesce(F.size(F.filter("keep", lambda x: ~x)), F.lit(0)).cast("long")
     return out.select(
         F.col("row").withField("text", text).alias("row"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
