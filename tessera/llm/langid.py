@@ -89,21 +89,23 @@ def _framed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return framed(np.frombuffer(b"".join(raw), np.uint8), offsets)
 
 
-def _bags(texts: list[str]):
-    """Distinct buckets of each text with their share of its grams."""
+def _bags(texts: list[str], step: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text with their share of its grams; a few texts at a time, since
+    the driver's memory is small."""
     out = []
-    data, offsets = _framed(texts)
-    text = letters_only(data)
-    hashes = []
-    for n in GRAMS:
-        h = gram_hashes(text, n, BITS)
-        drop_tails(h, offsets, n, 0)
-        hashes.append(h)
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        counts = np.bincount(np.concatenate([h[a:b] for h in hashes]), minlength=1)
-        counts[0] = 0
-        at = np.flatnonzero(counts)
-        out.append((at, counts[at] / max(1, counts.sum())))
+    for first in range(0, len(texts), step):
+        data, offsets = _framed(texts[first : first + step])
+        text = letters_only(data)
+        hashes = []
+        for n in GRAMS:
+            h = gram_hashes(text, n, BITS)
+            drop_tails(h, offsets, n, 0)
+            hashes.append(h)
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            counts = np.bincount(np.concatenate([h[a:b] for h in hashes]), minlength=1)
+            counts[0] = 0
+            at = np.flatnonzero(counts)
+            out.append((at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32)))
     return out
 
 
@@ -135,7 +137,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
         if not len(some):
             continue
         buckets = np.concatenate([bags[i][0] for i in some])
-        share = np.concatenate([bags[i][1] for i in some]).astype(np.float32)
+        share = np.concatenate([bags[i][1] for i in some])
         starts = np.concatenate([[0], np.cumsum([len(bags[i][0]) for i in some])])
         mean = np.add.reduceat(embedding[buckets] * share[:, None], starts[:-1], axis=0)
         error = softmax(mean @ layer + bias)
@@ -154,7 +156,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
     known[0] = 0
     model = LanguageModel(languages, table, bias.astype(float), 1.0, BAR if k > 1 else 0.0, known, 0.0)
     if len(kept_out):
-        raw, share = model.logits(*_framed([texts[i] for i in kept_out]))
+        parts = [model.logits(*_framed([texts[i] for i in kept_out[k : k + 64]])) for k in range(0, len(kept_out), 64)]
+        raw, share = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
         truth = y[kept_out]
         loss = lambda t: -np.log(softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean()
         model.temperature = min((float(t) for t in np.geomspace(0.05, 10, 60)), key=loss)
