@@ -24,10 +24,11 @@ BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
 #: Bounds of the training sample: rows per language, rows in all, bytes of one text.
 PER_LANGUAGE, MOST_ROWS, MOST_BYTES = 600, 4000, 1 << 16
 UNKNOWN = "und"
-#: A row is rejected if its calibrated score says that the prediction is likelier wrong than right,
-#: or if training saw less than this part of the grams that the poorest hundredth of the calibration
-#: rows had seen (text of no learned language).
-BAR, KNOWN_SHARE = 0.5, 0.75
+#: A row is rejected if its calibrated score says that the prediction is likelier wrong than right
+#: (BAR) and lies well below those of all calibration rows that are right (BAR_SHARE), or if training
+#: saw less than this part of the grams that the poorest hundredth of the calibration rows had seen
+#: (text of no learned language).
+BAR, BAR_SHARE, KNOWN_SHARE = 0.5, 0.8, 0.75
 
 
 def fold(doc_id: Column) -> Column:
@@ -161,6 +162,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
         truth = y[kept_out]
         loss = lambda t: -np.log(softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean()
         model.temperature = min((float(t) for t in np.geomspace(0.05, 10, 60)), key=loss)
+        score = softmax(raw / model.temperature)
+        right = score.argmax(1) == truth
+        if k > 1 and right.any():  # clean text that calibration rows resemble stays
+            model.bar = min(BAR, BAR_SHARE * float(score.max(1)[right].min()))
         model.known_bar = KNOWN_SHARE * float(np.quantile(share, 0.01))
     return model
 
