@@ -109,22 +109,23 @@ def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float
     targets = capped_targets(totals, [weight_of(i) for i in range(len(totals))], share)
     caps = np.array([2 * (-(-s // block)) for s in totals], np.int64)
     quotas = sainte_lague(np.array(targets), round(sum(targets) / block), caps) if totals else np.zeros(0, np.int64)
-    shards = spark.createDataFrame([(r["source"], -(-r["rows"] // SHARD_ROWS)) for r in by_source], "shards_source string, shards long")
+    shards = spark.createDataFrame(
+        [(r["source"], i, -(-r["rows"] // SHARD_ROWS)) for i, r in enumerate(by_source)], "shards_source string, source_no int, shards long"
+    )
     facts = spark.createDataFrame(
-        [(r["source"], i, totals[i], float(targets[i]), int(quotas[i])) for i, r in enumerate(by_source)],
-        "source string, source_no int, source_size long, target double, source_quota long",
+        [(i, totals[i], float(targets[i]), int(quotas[i])) for i in range(len(by_source))],
+        "source_no int, source_size long, target double, source_quota long",
     )
-    per_shard = _sharded(sizes, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("tokens"))
-    per_shard = per_shard.join(facts, per_shard["source"].eqNullSafe(facts["source"])).drop(facts["source"])
-    plan = per_shard.groupBy("source_no").applyInPandas(
+    per_shard = _sharded(sizes, shards, seed).groupBy("source_no", "shard").agg(F.sum("size").alias("tokens"))
+    plan = per_shard.join(facts, "source_no").groupBy("source_no").applyInPandas(
         _shard_quotas(block, seed),
         "source_no int, shard int, tokens long, blocks long, quota long, start long, source_size long, target double",
     )
-    names = facts.select("source_no", F.col("source").alias("plan_source"))
-    return materialize(plan.join(names, "source_no").withColumnRenamed("shard", "plan_shard"), "mix-plan"), shards
+    return materialize(plan, "mix-plan"), shards
 
 
 def _sharded(docs: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with ``source_no`` (never null, so that equal keys stay together) and ``shard``."""
     docs = docs.join(shards, docs["source"].eqNullSafe(shards["shards_source"]))
     return docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash"), F.col("shards")).cast("int"))
 
@@ -134,9 +135,9 @@ def placed(docs: DataFrame, plan: DataFrame, shards: DataFrame, block: int, seed
     ``passes`` whole copies, then the words ``first`` to ``first_end`` and ``second`` to
     ``second_end`` of it, ``taken`` in all. Rows equal in id, size and text may swap places."""
     order = [F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_hash"), "doc_id", "size", "text_hash"]
-    before = W.partitionBy("source", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("source_no", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = _sharded(docs, shards, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    out = out.join(plan, out["source"].eqNullSafe(plan["plan_source"]) & (out["shard"] == plan["plan_shard"]))
+    out = out.join(plan, ["source_no", "shard"])  # partitioned alike: the rows move once
     n, zero = F.greatest(F.col("blocks"), F.lit(1)), F.lit(0).cast("long")
     run, at, size = F.col("quota") % n, F.col("at"), F.col("size")
     last = F.least((F.col("start") + run) * block, F.col("tokens"))
@@ -170,10 +171,11 @@ def mixed_documents(docs: DataFrame, weight_of: Callable[[int], float] = contrac
     out. Columns of any other name pass through."""
     sizes = materialize(_sized(docs).drop("row", "text"), "mix-sizes")
     plan, shards = shard_plan(sizes, weight_of, share, block, seed)
-    out = placed(_sized(docs), plan, shards, block, seed).filter("taken > 0")
+    out = placed(_sized(docs).drop("text"), plan, shards, block, seed).filter("taken > 0")  # the row has it
+    text = F.col("row.text")
     extra, size = F.col("taken") - F.col("passes") * F.col("size"), F.col("size")
-    whole = F.array_repeat(F.col("text"), (F.col("passes") + F.when(extra == size, 1).otherwise(0)).cast("int"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    whole = F.array_repeat(text, (F.col("passes") + F.when(extra == size, 1).otherwise(0)).cast("int"))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     part = lambda x: F.slice(words, (F.col(x) + 1).cast("int"), (F.col(f"{x}_end") - F.col(x)).cast("int"))
     cut = F.array(F.concat_ws(" ", F.concat(part("first"), part("second"))))
     copies = F.when((extra > 0) & (extra < size), F.concat(whole, cut)).otherwise(whole)
