@@ -7,6 +7,10 @@ words that two documents share consists of runs that both have. Each run names,
 that holds it, the earliest document that does: at most one partner per run, however many hold it, so
 partners grow with the lines and not with their pairs. A pair is aligned with patience diff over line
 hashes, and runs of aligned lines with at least ``least_words`` words go from the later document.
+Passages that start or end inside a line are found by words (``passages``): every run of
+``least_words`` words that an earlier document holds goes, wherever lines break, and lines at its ends
+lose those words only. A run that holds enough words without a piece of under ``LEAST_PIECE`` words
+beyond a line break leaves that piece, since texts often go on with the same word by chance.
 What goes from a document always stays in an earlier one, and the earliest holder keeps it.
 """
 
@@ -19,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import WORD, bounded_batches, materialize, mix64
 
 LEAST_WORDS = 40
+LEAST_PIECE = 4
+#: A word with the white space before it, and after it at the end of a line.
+_SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -116,19 +124,67 @@ def _aligned(least_words: int):
     return run
 
 
-def _masks(batches):
-    """Which lines stay, and the ranges that go, from all partners' ranges of a document."""
-    for batch in batches:
-        keep, gone = [], []
-        for n, many in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            stays = np.ones(n, bool)
-            for ranges in many:
-                for low, high in zip(ranges[::2], ranges[1::2]):
-                    stays[low:high] = False
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).astype(np.int8)))
-            keep.append(stays)
-            gone.append(",".join(f"{low}-{high}" for low, high in zip(edge[::2], edge[1::2])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.list_(pa.bool_())), pa.array(gone, pa.string())], ["rid", "keep", "removed"])
+def _edges(gone: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a mask that are true."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def cut_words(words: np.ndarray, gone: np.ndarray, runs: list[int], least_words: int) -> np.ndarray:
+    """Which words go, of a document whose lines hold ``words`` and lose the lines ``gone``, when runs
+    of ``least_words`` words start at ``runs``; ``gone`` gains the lines that lose all their words,
+    and blank lines inside a run."""
+    ends = np.cumsum(words)
+    starts = ends - words
+    change = np.zeros(int(ends[-1]) + 1, np.int32)
+    np.add.at(change, np.asarray(runs, np.int64), 1)
+    np.add.at(change, np.asarray(runs, np.int64) + least_words, -1)
+    cut = np.zeros(len(change) - 1, bool)
+    for low, high in _edges(np.cumsum(change)[:-1] > 0):
+        first, last = np.searchsorted(ends, [low, high - 1], side="right")
+        if starts[first] < low and ends[first] - low < LEAST_PIECE and high - ends[first] >= least_words:
+            low = int(ends[first])
+        if high < ends[last] and high - starts[last] < LEAST_PIECE and starts[last] - low >= least_words:
+            high = int(starts[last])
+        cut[low:high] = True
+        gone[(words == 0) & (starts > low) & (starts < high)] = True
+    cut |= np.repeat(gone, words)
+    left = np.concatenate([[0], np.cumsum(~cut)])
+    gone |= (words > 0) & (left[ends] == left[starts])
+    return cut
+
+
+def _masks(least_words: int):
+    """Which lines stay, which words of lines that stay in part, and the ranges that go, from all
+    partners' ranges of lines and the runs of words of a document."""
+
+    def run(batches):
+        for batch in batches:
+            keep, some, removed, cuts = [], [], [], []
+            for words, many, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                words = np.array(words, np.int64)
+                gone = np.zeros(len(words), bool)
+                for ranges in many or []:
+                    for low, high in zip(ranges[::2], ranges[1::2]):
+                        gone[low:high] = True
+                cut = cut_words(words, gone, runs or [], least_words)
+                parts: list = [None] * len(words)
+                texts = []
+                ends = np.cumsum(words)
+                for line in np.unique(np.searchsorted(ends, np.flatnonzero(cut), side="right")):
+                    if not gone[line]:
+                        mine = cut[ends[line] - words[line] : ends[line]]
+                        parts[line] = (~mine).tolist()
+                        texts += [f"{line}:{low}-{high}" for low, high in _edges(mine)]
+                keep.append(~gone)
+                some.append(parts)
+                removed.append(",".join(f"{low}-{high}" for low, high in _edges(gone)))
+                cuts.append(",".join(texts))
+            kinds = [pa.list_(pa.bool_()), pa.list_(pa.list_(pa.bool_())), pa.string(), pa.string()]
+            columns = [pa.array(x, kind) for x, kind in zip((keep, some, removed, cuts), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rid", "keep", "some", "removed", "cut"])
+
+    return run
 
 
 def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +223,29 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def word_runs(docs: DataFrame, order: DataFrame, least_words: int) -> DataFrame:
+    """``rid, runs, leads`` of each text (``digest, text``; rows of ``order``: ``digest, rid``) that
+    shares words with earlier ones: starts of runs of words, and the documents that hold them first.
+    A repeated text counts once, at its first row: the others lose all their lines anyway."""
+    said = materialize(docs.select(F.col("digest").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(passages.words, "doc long, hashes array<int>"), "ld-words")
+    # sent by key once, for the aggregate and the join alike
+    grams = said.mapInArrow(passages.grams(least_words), "gram long, doc long").repartition("gram")
+    shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("gram")
+    mine = grams.join(shared, "gram").groupBy("doc").agg(F.collect_set("gram").alias("shared"))
+    mine = mine.join(order.groupBy(F.col("digest").alias("doc")).agg(F.min("rid").alias("rid")), "doc")
+    mine = materialize(mine, "ld-grams")
+    runs = said.join(mine, "doc").select("rid", "hashes", "shared").mapInArrow(passages.windows(least_words), "key long, rid long, at int").repartition("key")
+    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.max("at").alias("at")).filter("lead < last and at >= 0").select("key", "lead")
+    found = runs.join(leads, "key").filter("rid <> lead").groupBy("rid")
+    return materialize(found.agg(F.collect_set("at").alias("runs"), F.collect_set("lead").alias("leads")), "ld-runs")
+
+
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``id, digest, keep, removed, donors`` of each document (``id, text``) that loses lines."""
+    """``id, digest, keep, some, removed, cut, donors`` of each document (``id, text``) that loses
+    lines or words."""
     bounded_batches(docs.sparkSession)
     bare = lambda line: F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text")
     docs = docs.select("id", F.xxhash64("text").alias("digest"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
     docs = docs.select(
         "id", "digest",
@@ -190,18 +265,24 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     earlier = docs.select(F.col("rid").alias("lead"), F.col("marks").alias("a"))
     both = pairs.join(later, "rid").join(earlier, "lead").select("rid", "lead", "a", "b", "words")
     found = materialize(both.mapInArrow(_aligned(least_words), "rid long, lead long, ranges array<int>"), "ld-blocks")
+    inside = word_runs(texts, docs.select("digest", "rid"), least_words)
     names = docs.select(F.col("rid").alias("lead"), F.struct("id").alias("donor"))
-    per = found.join(names, "lead").groupBy("rid").agg(F.collect_list("ranges").alias("many"), F.sort_array(F.collect_set("donor")).alias("donors"))
-    per = per.join(docs.select("rid", F.size("marks").alias("lines"), "id", "digest"), "rid")
-    per = materialize(per.select("rid", "lines", "many", "id", "digest", F.col("donors.id").alias("donors")), "ld-deleted")
-    masks = per.select("rid", "lines", "many").mapInArrow(_masks, "rid long, keep array<boolean>, removed string")
+    leads = found.select("rid", "lead").union(inside.select("rid", F.explode("leads").alias("lead"))).distinct()
+    donors = leads.join(names, "lead").groupBy("rid").agg(F.sort_array(F.collect_set("donor")).alias("donors"))
+    per = found.groupBy("rid").agg(F.collect_list("ranges").alias("many")).join(inside.select("rid", "runs"), "rid", "full").join(donors, "rid")
+    per = per.join(docs.select("rid", "words", "id", "digest"), "rid")
+    per = materialize(per.select("rid", "words", "many", "runs", "id", "digest", F.col("donors.id").alias("donors")), "ld-deleted")
+    masks = per.select("rid", "words", "many", "runs").mapInArrow(
+        _masks(least_words), "rid long, keep array<boolean>, some array<array<boolean>>, removed string, cut string"
+    )
     return masks.join(per.select("rid", "id", "digest", "donors"), "rid").drop("rid")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """``row`` (the row of ``docs`` with what is left of its ``text``), ``n_lines``, ``n_removed``,
-    ``removed`` (ranges of line numbers from 0, end exclusive) and ``donors`` (keys of the earlier
-    documents that keep the removed lines).
+    ``removed`` (ranges of line numbers from 0, end exclusive), ``cut`` (line and range of words of
+    lines that go in part; ``n_removed`` counts whole lines) and ``donors`` (keys of the earlier
+    documents that keep what is removed).
 
     Documents are ordered by key, null keys last; rows that repeat both key and text are one
     document and are treated alike, rows that repeat a key only are ordered by a hash of their text.
@@ -214,32 +295,36 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_W
     out = rows.join(gone.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("digest")), "left")
     before = F.col("row.text")  # the row is shipped once; its text is no column beside it
     lines = _lines(before)
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.col("keep").alias("keep")), lambda x: x["keep"]), lambda x: x["line"])
+    zipped = F.arrays_zip(lines.alias("line"), F.col("keep").alias("keep"), F.col("some").alias("some"))
+    left = lambda x: F.array_join(F.filter(F.regexp_extract_all(x["line"], F.lit(_SPACED), F.lit(0)), lambda w, i: F.get(x["some"], i)), "")
+    kept = F.transform(F.filter(zipped, lambda x: x["keep"]), lambda x: F.when(x["some"].isNull(), x["line"]).otherwise(left(x)))
     text = F.when(F.col("keep").isNull(), before).otherwise(F.array_join(kept, "\n"))
     dropped = F.coalesce(F.size(F.filter("keep", lambda x: ~x)), F.lit(0)).cast("long")
     return out.select(
         F.col("row").withField("text", text).alias("row"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("keep").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("n_removed"),
-        F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("donors", F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("donors"),
+        F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("cut", F.lit("")).alias("cut"),
+        F.coalesce("donors", F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("donors"),
     )
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents themselves, with the columns of ``docs``: lines deleted, ``n_chars`` (if there)
+    """The documents themselves, with the columns of ``docs``: shared lines and words deleted, ``n_chars`` (if there)
     following, and documents that deletion left without a word left out."""
     out = dedup_lines(docs, key)
     row = F.col("row")
+    changed = (F.col("n_removed") > 0) | (F.col("cut") != "")
     if "n_chars" in docs.columns:
-        row = F.when(F.col("n_removed") > 0, row.withField("n_chars", F.length(row["text"]).cast(docs.schema["n_chars"].dataType))).otherwise(row)
-    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+        row = F.when(changed, row.withField("n_chars", F.length(row["text"]).cast(docs.schema["n_chars"].dataType))).otherwise(row)
+    emptied = changed & ~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
     return out.filter(~emptied).select(row.alias("row")).select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """All documents with the lines that an earlier one keeps deleted."""
+    """All documents with the lines and words that an earlier one keeps deleted."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return out.select(
-        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "removed", "donors",
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "removed", "cut", "donors",
         F.length(text).cast("long").alias("n_chars_left"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
     )

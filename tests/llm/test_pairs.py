@@ -201,3 +201,48 @@ def test_line_dedup_over_odd_rows(spark, edge, edge_rows, empty):
     left = sorted(repr(r["doc_id"]) for r in out.collect())
     assert left == sorted(map(repr, [1, 2, 3, None, 4, 5, 6, 7, 8, 9, 10, 11, 12]))
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.deduplicated(empty).count() == 0
+
+
+def shared_words(texts, least=40):
+    """By document, which words are in a run of ``least`` words that an earlier document holds."""
+    held, out = set(), []
+    for text in texts:
+        words = WORDS.findall(text)
+        runs = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        out.append({k + x for k, run in enumerate(runs) if run in held for x in range(least)})
+        held |= set(runs)
+    return out
+
+
+def test_line_dedup_cuts_passages_that_start_and_end_inside_lines(spark):
+    draw = random.Random(21)
+    pool = [f"p{k}" for k in range(300)]
+    texts = []
+    for d in range(40):
+        own = iter(f"o{d}-{k}" for k in range(10**6))
+        words = [next(own) for _ in range(9)]
+        for _ in range(draw.randint(1, 3)):
+            at = draw.randrange(200)
+            words += [*pool[at : at + draw.choice([39, 40, 41, 59, 90])], *(next(own) for _ in range(draw.randint(1, 12)))]
+        texts.append("".join(w + draw.choice([" ", " ", " ", "\t ", "\n"]) for w in words))
+    whole = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["row"]["doc_id"]: r for r in whole}
+    want = shared_words(texts)
+    assert sum(bool(x) for x in want) > 20
+    for i, text in enumerate(texts):
+        starts = np.cumsum([0, *(len(WORDS.findall(x)) for x in text.split("\n"))]).tolist()
+        gone = {x for part in got[i]["removed"].split(",") if part for low, high in [part.split("-")] for x in range(starts[int(low)], starts[int(high)])}
+        for part in got[i]["cut"].split(",") if got[i]["cut"] else []:
+            line, low, high = map(int, re.split("[:-]", part))
+            gone |= set(range(starts[line] + low, starts[line] + high))
+        assert WORDS.findall(got[i]["row"]["text"]) == [w for k, w in enumerate(WORDS.findall(text)) if k not in gone], i
+        kept = sorted(want[i] - gone)
+        pieces = sum(k - 1 not in kept for k in kept)
+        assert gone <= want[i] and len(kept) <= (line_dedup.LEAST_PIECE - 1) * pieces and pieces <= 6, i
+        assert bool(got[i]["donors"]) == bool(want[i]) and all(d < i for d in got[i]["donors"])
+    rows = [(1, "a b c\n" + PASSAGE_59), (2, "x y  " + PASSAGE_59.replace("\n", " ") + "  z\n\nend")]
+    out = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2]["row"]["text"] == "x y  z\n\nend" and (out[2]["removed"], out[2]["cut"], out[2]["donors"]) == ("", "0:2-61", [1])
+
+
+PASSAGE_59 = "\n".join(" ".join(f"s{i}" for i in range(low, high)) for low, high in ((0, 20), (20, 24), (24, 45), (45, 59)))
