@@ -85,9 +85,41 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _unaligned_blocks(a: list[int], b: list[int], words: list[int], least_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal common blocks of at least ``least_words`` words around the runs of lines of ``b`` that
+    ``a`` has too and that no block of ``found`` holds."""
+    of = dict(zip(b, words))
+    count = [of.get(x, 0) for x in a]  # a line that b lacks is in no common run
+    marks = np.array(a + b, np.int64)
+    low, high, rows, keys = _runs(marks, np.array(count + words, np.int64), np.array([0, len(a), len(marks)], np.int64), least_words)
+    held: dict[int, list[int]] = {}
+    for i, key in zip(low[rows == 0].tolist(), keys[rows == 0].tolist()):
+        held.setdefault(key, []).append(i)
+    out: list[tuple[int, int]] = []
+    todo, reach = sorted(found, reverse=True), 0  # the furthest end of a block that starts at a line or before it
+    for j, end, key in sorted(zip((low[rows == 1] - len(a)).tolist(), (high[rows == 1] - len(a)).tolist(), keys[rows == 1].tolist())):
+        while todo and todo[-1][0] <= j:
+            reach = max(reach, todo.pop()[1])
+        for i in held.get(key, ()):
+            if reach >= end:
+                break
+            if a[i : i + end - j] != b[j:end]:
+                continue
+            x, y = j, end
+            while x and i > j - x and a[i - j + x - 1] == b[x - 1]:
+                x -= 1
+            while y < len(b) and i - j + y < len(a) and a[i - j + y] == b[y]:
+                y += 1
+            reach = max(reach, y)
+            out.append((x, y))
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int) -> list[tuple[int, int]]:
     """Ranges of ``b`` that align with ``a`` line by line and hold at least ``least_words`` words.
-    A passage that stands in ``b`` more than once is found as often: what is left is aligned again."""
+    A passage that stands in ``b`` more than once is found as often: what is left is aligned again.
+    When that gives no more, runs that no alignment reached (repeated in either, or crossed by lines
+    that align) are looked up: no common block of so many words is left."""
     left = list(range(len(b)))
     out: list[tuple[int, int]] = []
     while left:
@@ -104,6 +136,9 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
         out += new
         gone = {j for low, high in new for j in range(low, high)}
         left = [j for j in left if j not in gone]
+    mine = set(a)
+    if any(words[j] and b[j] in mine for j in left):
+        out += _unaligned_blocks(a, b, words, least_words, out)
     return sorted(out)
 
 
@@ -187,12 +222,12 @@ def _masks(least_words: int):
     return run
 
 
-def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each shortest run of lines that holds ``least_words`` words, from every line
+def _runs(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """Start, end, row and hash of each shortest run of lines that holds ``least_words`` words, from every line
     with words onward and from every such line back; rows are stretches of ``marks`` by ``offsets``."""
     n = len(marks)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     total = np.concatenate([[0], np.cumsum(words)])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.flatnonzero(words > 0)
@@ -204,7 +239,12 @@ def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_wo
     powers = lambda base: np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(marks.view(np.uint64)) * powers(_BASE)[:n], dtype=np.uint64)])
     keys = mix64((sums[high] - sums[low]) * powers(_INVERSE)[low] + (high - low).astype(np.uint64))
-    return rows, keys.view(np.int64)
+    return low, high, rows, keys.view(np.int64)
+
+
+def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each of these runs."""
+    return _runs(marks, words, offsets, least_words)[2:]
 
 
 def _run_keys(least_words: int):

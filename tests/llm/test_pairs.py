@@ -246,3 +246,29 @@ def test_line_dedup_cuts_passages_that_start_and_end_inside_lines(spark):
 
 
 PASSAGE_59 = "\n".join(" ".join(f"s{i}" for i in range(low, high)) for low, high in ((0, 20), (20, 24), (24, 45), (45, 59)))
+
+
+def covered(blocks):
+    return {x for low, high in blocks for x in range(low, high)}
+
+
+def test_common_blocks_leave_no_repeated_or_crossed_passage():
+    blocks = lambda a, b, words: line_dedup.common_blocks(a, b, words, 40)
+    assert covered(blocks([1, 9, 2, 9, 3], [4, 9, 5], [6, 45, 6])) == {1}  # twice in the earlier one
+    assert covered(blocks([1, 9, 2], [4, 9, 5, 9, 6], [6, 45, 6, 45, 6])) == {1, 3}  # twice in the later one
+    assert covered(blocks([1, 2, 3, 9], [9, 1, 2, 3], [45, 3, 3, 3])) == {0}  # crossed by short lines
+    draw = random.Random(31)
+    size = [0, 3, 12, 25, 45, 20]
+    for _ in range(2000):
+        a, b = ([draw.randrange(6) for _ in range(draw.randint(0, 9))] for _ in range(2))
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if sum(size[x] for x in b[j : j + k]) >= 40:
+                    want |= set(range(j, j + k))
+        words = [size[x] for x in b]
+        got = covered(blocks(a, b, words))
+        assert {x for x in got if words[x]} == {x for x in want if words[x]}, (a, b)
