@@ -167,12 +167,21 @@ def _chains(data: bytes, at: int, end: int, like: Header | None) -> bool:
 
 
 def parse(data: bytes) -> Stream:
-    """All there is in a stream; damage costs the damaged frames only. Never raises on any bytes."""
-    out, end, at = Stream(), len(data), 0
-    tags: list[tuple[str, int]] = []
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        tags.append(("id3v1", 128))
-        end -= 128
+    """All there is in a stream; damage costs the damaged frames only. Never raises on any bytes.
+    An ID3v1 tag is one only if no sound frame that starts before it holds its bytes."""
+    end, spot = len(data), len(data) - 128
+    if spot < 0 or data[spot : spot + 3] != b"TAG":
+        return _parse(data, end, [])
+    whole = _parse(data, end, [])
+    k = int(np.searchsorted(whole.offsets, spot)) - 1
+    if k >= 0 and whole.offsets[k] + whole.lengths[k] > spot and _chains(data, int(whole.offsets[k]), end, None):
+        return whole
+    return _parse(data, spot, [("id3v1", 128)])
+
+
+def _parse(data: bytes, end: int, tags: list[tuple[str, int]]) -> Stream:
+    """All there is before ``end``; ``tags`` are known already."""
+    out, at = Stream(), 0
     first: Header | None = None
     words, spots = [], []
     sure = False  # the last frame's length led here

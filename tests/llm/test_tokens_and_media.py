@@ -104,3 +104,17 @@ def test_any_bytes_parse():
         data = bytes(draw.choice([0xFF, 0xFB, 0x90, 0x64, 0, 0x49, 0x44, 0x33, draw.randrange(256)]) for _ in range(draw.randint(0, 900)))
         stream = mpeg_audio.parse(data)
         assert len(stream.offsets) == len(stream.lengths) and stream.skipped <= len(data)
+
+
+def test_payload_that_looks_like_a_closing_tag():
+    for raw in (b"x" * 89 + b"TAG", b"y" * 192 * 3 + b"x" * 89 + b"TAG and more"):
+        raw = mpeg_audio.pad(raw)
+        data = mpeg_audio.encode(raw)
+        assert data[-128:-125] == b"TAG"
+        stream = mpeg_audio.parse(data)
+        assert mpeg_audio.payload(data, stream) == raw and stream.skipped == 0 and [name for name, _ in stream.tags] == ["id3v2"]
+        tagged = data + b"TAG" + bytes(125)
+        stream = mpeg_audio.parse(tagged)
+        assert mpeg_audio.payload(tagged, stream) == raw and ("id3v1", 128) in stream.tags
+        short = mpeg_audio.parse(data[:-50] + b"TAG" + bytes(125))  # the last frame is cut off by a real tag
+        assert len(short.offsets) == len(raw) // 192 - 1 and ("id3v1", 128) in short.tags
