@@ -1,4 +1,4 @@
-"""``convert CSV TABLE [SCHEMA]`` and ``query DIR NAME``."""
+"""``convert CSV TABLE [SCHEMA] [--lines]`` (--lines: no row spans lines) and ``query DIR NAME``."""
 
 from __future__ import annotations
 
@@ -12,9 +12,10 @@ from tessera.sources.ingest import convert
 
 
 def main(args: list[str]) -> int:
-    if args[:1] == ["convert"] and len(args) in (3, 4):
+    plain = [x for x in args if x != "--lines"]
+    if plain[:1] == ["convert"] and len(plain) in (3, 4):
         began = time.perf_counter()
-        convert(local_session(), args[1], args[2], args[3] if len(args) == 4 else None)
+        convert(local_session(), plain[1], plain[2], plain[3] if len(plain) == 4 else None, multi_line=False if "--lines" in args else None)
         print(f"converted in {(time.perf_counter() - began) * 1000:.0f} ms", file=sys.stderr)
         return 0
     if args[:1] == ["query"] and len(args) == 3 and args[2] in catalog.QUERIES:

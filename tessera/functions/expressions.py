@@ -3,7 +3,6 @@ Spark column, so everything stays inside generated code."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,6 +12,8 @@ from pyspark.sql import types as T
 
 from tessera.errors import EngineError
 
+from .patterns import java_pattern, java_replacement
+
 UNITS = ("year", "month", "day", "hour", "minute", "second")
 
 
@@ -148,43 +149,9 @@ class CaseWhen(Expression):
         return F.when(self.predicate.resolve(schema), self.then.resolve(schema)).otherwise(self.otherwise.resolve(schema))
 
 
-def java_pattern(pattern: str) -> str:
-    """A linear-time-dialect pattern for Java: an unescaped ``$`` outside a class is the very end of
-    the text, and only a line feed ends a line."""
-    out, at, in_class = [], 0, False
-    while at < len(pattern):
-        c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
-            out.append(pattern[at : at + 2])
-            at += 2
-            continue
-        if c == "[" and not in_class:
-            in_class = True
-        elif c == "]" and in_class:
-            in_class = False
-        out.append(r"\z" if c == "$" and not in_class else c)
-        at += 1
-    return "(?d)" + "".join(out)
-
-
-def java_replacement(replacement: str) -> str:
-    r"""``\1`` to ``$1``; a plain ``$`` stays a dollar sign."""
-    out, at = [], 0
-    while at < len(replacement):
-        c = replacement[at]
-        if c == "\\" and at + 1 < len(replacement):
-            follow = replacement[at + 1]
-            out.append(f"${follow}" if follow.isdigit() else "\\\\" if follow == "\\" else follow)
-            at += 2
-            continue
-        out.append("\\$" if c == "$" else c)
-        at += 1
-    return "".join(out)
-
-
 @dataclass(frozen=True)
 class RegexpReplace(Expression):
-    r"""All matches replaced; ``\1`` in the replacement is the first group."""
+    r"""All matches of a linear-time-dialect pattern replaced; ``\1`` in the replacement is the first group."""
 
     column: str
     pattern: str
@@ -198,11 +165,40 @@ class RegexpReplace(Expression):
     def resolve(self, schema: T.StructType) -> Column:
         if not isinstance(field_type(schema, self.column), T.StringType):
             raise EngineError(f"{self.column!r} is no string")
-        try:
-            groups = re.compile(self.pattern).groups
-        except re.error:
-            groups = 9
-        for number in re.findall(r"(?<!\\)\\(\d)", self.replacement):
-            if int(number) > groups:
-                raise EngineError(f"the pattern has no group {number}")
-        return F.regexp_replace(self.column, F.lit(java_pattern(self.pattern)), F.lit(java_replacement(self.replacement)))
+        pattern, groups = java_pattern(self.pattern)
+        return F.regexp_replace(self.column, F.lit(pattern), F.lit(java_replacement(self.replacement, groups)))
+
+
+@dataclass(frozen=True)
+class Cast(Expression):
+    """A column as another type; what does not fit raises."""
+
+    column: str
+    kind: str
+    output: str | None = None
+
+    @property
+    def name(self) -> str:
+        return self.output or self.column
+
+    def resolve(self, schema: T.StructType) -> Column:
+        field_type(schema, self.column)
+        return F.col(self.column).cast(self.kind)
+
+
+@dataclass(frozen=True)
+class Round(Expression):
+    """A number rounded half up to so many digits after the point."""
+
+    column: str
+    digits: int
+    output: str | None = None
+
+    @property
+    def name(self) -> str:
+        return self.output or self.column
+
+    def resolve(self, schema: T.StructType) -> Column:
+        if not isinstance(field_type(schema, self.column), T.NumericType):
+            raise EngineError(f"{self.column!r} is no number")
+        return F.round(self.column, self.digits)

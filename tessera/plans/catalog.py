@@ -6,24 +6,48 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from tessera.functions.aggregates import Avg, Count, DistinctCount, Max, Min, Sum
-from tessera.functions.expressions import AddConst, CaseWhen, Col, ExtractMinute, Length, Literal, RegexpReplace, TimeTrunc
+from tessera.functions.expressions import AddConst, CaseWhen, Cast, Col, ExtractMinute, Length, Literal, RegexpReplace, Round, TimeTrunc
 from tessera.functions.predicates import And, Eq, Greater, GreaterEq, In, LessEq, Like, NotEq, NotLike, Or
 from tessera.operators.frame import Frame
 from tessera.session import prepare
+from tessera.sources import ingest, scratch
+
+
+class Tables:
+    """The tables of a folder, and the same by way of delimited text."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, table: str) -> Frame:
+        return Frame.scan(self.spark, f"{self.sf_dir}/{table}.parquet")
+
+    def converted(self, table: str, columns: dict[str, str], header: bool = False) -> Frame:
+        """The declared columns of a table, written as delimited text and converted into a table again.
+        With ``header`` the text declares them itself, else a schema file does."""
+        path = scratch.new_path(self.spark, "text")
+        out = self(table).df.select(*columns)
+        if header:
+            out = out.withColumnsRenamed({name: f"{kind}:{name}" for name, kind in columns.items()})
+        written = {"header": header, "quote": '"', "escape": '"', "quoteAll": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        out.write.options(**written).csv(f"{path}/text")
+        lines = [Row(value=f"{name},{kind}") for name, kind in columns.items()]
+        self.spark.createDataFrame(lines).coalesce(1).write.text(f"{path}/schema")
+        ingest.convert(self.spark, f"{path}/text", f"{path}/table", None if header else f"{path}/schema")
+        return Frame.scan(self.spark, f"{path}/table")
 
 
 @dataclass(frozen=True)
 class Query:
-    build: Callable[[Callable[[str], Frame]], Frame]
+    build: Callable[[Tables], Frame]
     sql: str
 
     def frame(self, spark: SparkSession, sf_dir: str) -> Frame:
         prepare(spark)
-        return self.build(lambda table: Frame.scan(spark, f"{sf_dir}/{table}.parquet"))
+        return self.build(Tables(spark, sf_dir))
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.frame(spark, sf_dir).df
@@ -42,12 +66,12 @@ def query(sql: str):
 
 def rounded(frame: Frame, digits: int, *columns: str) -> Frame:
     """Doubles that depend on the order of addition, rounded for comparison."""
-    return Frame(frame.df.withColumns({c: F.round(c, digits) for c in columns}))
+    return frame.project(*[Round(c, digits) for c in columns])
 
 
 def bigints(frame: Frame, *columns: str) -> Frame:
     """Exact decimal sums as bigint; a sum out of range raises."""
-    return Frame(frame.df.withColumns({c: F.col(c).cast("bigint") for c in columns}))
+    return frame.project(*[Cast(c, "bigint") for c in columns])
 
 
 # --- whole-table aggregates
@@ -90,7 +114,7 @@ def distinct_string(t):
 
 @query("SELECT cast(min(l_shipdate) AS date) AS low, cast(max(l_shipdate) AS date) AS high FROM lineitem")
 def min_max_date(t):
-    days = Frame(t("lineitem").df.select(F.col("l_shipdate").cast("date").alias("day")))
+    days = t("lineitem").project(Cast("l_shipdate", "date", "day"))
     return days.aggregate([], [Min("day", "low"), Max("day", "high")])
 
 
@@ -346,7 +370,7 @@ def case_when_group(t):
 AND {_IN_RANGE_SQL} GROUP BY 1, 2 ORDER BY c DESC, o_custkey, day LIMIT 10 OFFSET 100""")
 def in_list_group(t):
     out = t("orders").filter(In("o_orderpriority", ["1-URGENT", "5-LOW"])).filter(_IN_RANGE)
-    out = Frame(out.df.withColumn("day", F.col("o_orderdate").cast("date"))).aggregate(["o_custkey", "day"], [Count(name="c")])
+    out = out.project(Cast("o_orderdate", "date", "day")).aggregate(["o_custkey", "day"], [Count(name="c")])
     return out.order_by(("c", True), "o_custkey", "day", limit=10, offset=100)
 
 
@@ -383,7 +407,7 @@ for _unit, _table, _column in (("year", "orders", "o_orderdate"), ("month", "ord
 
 @query("SELECT DISTINCT cast(date_trunc('month', o_orderdate) AS date) AS month FROM orders")
 def trunc_date(t):
-    days = Frame(t("orders").df.select(F.col("o_orderdate").cast("date").alias("day")))
+    days = t("orders").project(Cast("o_orderdate", "date", "day"))
     return days.aggregate([TimeTrunc("day", "month", "month")], [Count(name="c")]).drop("c")
 
 
@@ -405,3 +429,23 @@ def project_scalars(t):
 @query("SELECT conv_id, turn, cast(strlen(text) AS bigint) AS bytes FROM conversations")
 def byte_length(t):
     return t("conversations").project(Length("text", "bytes")).reorder("conv_id", "turn", "bytes")
+
+
+# --- tables that came in as delimited text
+
+
+@query(r"""SELECT conv_id, turn, role, rtrim(replace(text, chr(13), ''), ' ' || chr(9)) AS text FROM conversations""")
+def convert_text(t):
+    return t.converted("conversations", {"conv_id": "INT64", "turn": "INT32", "role": "STRING", "text": "STRING"}, header=True).project(Cast("turn", "bigint")).reorder("conv_id", "turn", "role", "text")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, date_trunc('second', o_orderdate) AS o_orderdate FROM orders""")
+def convert_types(t):
+    kinds = {"o_orderkey": "INT64", "o_custkey": "INT32", "o_orderstatus": "CHAR", "o_totalprice": "DOUBLE", "o_orderdate": "TIMESTAMP"}
+    return t.converted("orders", kinds).project(Cast("o_custkey", "bigint"), Round("o_totalprice", 2)).reorder(*kinds)
+
+
+@query("""SELECT l_returnflag, count(*) AS c, cast(sum(l_linenumber) AS bigint) AS s FROM lineitem WHERE l_quantity <= 10 GROUP BY l_returnflag""")
+def convert_then_group(t):
+    lines = t.converted("lineitem", {"l_linenumber": "INT16", "l_quantity": "FLOAT", "l_returnflag": "CHAR"})
+    return bigints(lines.filter(LessEq("l_quantity", 10)).aggregate(["l_returnflag"], [Count(name="c"), Sum("l_linenumber", "s")]), "s")

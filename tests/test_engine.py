@@ -9,8 +9,9 @@ import pytest
 from tessera.errors import EngineError
 from tessera.functions.aggregates import Avg, Count, DistinctCount, Max, Min, Sum
 from tessera.functions.expressions import (
-    AddConst, CaseWhen, Col, ExtractMinute, Length, Literal, RegexpReplace, TimeTrunc, java_pattern, java_replacement,
+    AddConst, CaseWhen, Cast, Col, ExtractMinute, Length, Literal, RegexpReplace, Round, TimeTrunc,
 )
+from tessera.functions.patterns import java_pattern, java_replacement
 from tessera.functions.predicates import And, Eq, Greater, GreaterEq, In, Less, LessEq, Like, NotEq, NotLike, Or
 from tessera.operators.frame import Frame
 from tessera.session import prepare
@@ -102,7 +103,42 @@ def test_pattern_dialect(spark):
     frame = Frame(spark.createDataFrame([("http://a.b/c\n",), ("https://www.x.y/z?q",), ("none",)], "u string"))
     got = frame.project(RegexpReplace("u", r"^https?://(?:www\.)?([^/]+)/.*$", r"\1", "k")).result("k")
     assert got == ["http://a.b/c\n", "x.y", "none"]
-    assert java_pattern(r"a$[$]\$") == r"(?d)a\z[$]\$" and java_replacement(r"\1-$\\-\0") == r"$1-\$\\-$0"
+    assert java_replacement(r"\1-$\\-\0", 1) == r"$1-\$\\-$0" and java_replacement(r"\12", 1) == r"$1\2"
+    for bad in (r"(?=a)", r"(?<!a)b", r"(a)\1", r"(?P<n", r"a**", r"a*+", r"(?>a)", r"[[:nope:]]", r"(a", r"a)", r"[a", r"[z-a]", r"*a", "a|*", r"\C", r"\Z", r"\h", "(?U)a*", "a{2000}", "a\\", r"\xZZ"):
+        with pytest.raises(EngineError):
+            java_pattern(bad)
+    for bad in ("\\", r"\x", r"\2"):
+        with pytest.raises(EngineError):
+            java_replacement(bad, 1)
+
+
+PATTERNS = [
+    "[[:alpha:]]+", "[^[:alpha:][:digit:]]+", "[[:^digit:]]", "[a&&b]+", "[]$]", "[^]a]", "[a-c-]", r"[\d\s]+", r"[\S]", r"[^\S]", r"[\W_]", r"(?P<n>a)(?P<m_1>b)?", "(?i)É", "(?i:A)b",
+    "a$", "(?m)^.", "(?m).$", "(?m)$", r"\bb", r"\B.", r"\s+", r"\S+", r"\v", r"\x61", r"\x{e9}", r"\141", r"\0", r"\pL+", r"\p{Greek}", r"\p{^Lu}", r"\P{Lu}+", "x*", "a*?", "(a|)", "a{,2}", "a{2}", "{",
+    "}", "]", "a|b|", "(?s)a.", "a.", r"\Qa.b\E+", r"\Aa", r"a\z", "[.]", r"\.", "#", " ", "(?i-s:A.)", r"(b+)(c)?", "é", "[é-ü]", "(?:)", "(^a|b$)", r"[\x41-\x43]", r"\_", "😀+", r"[[a]", r"[\]\[-]",
+]
+
+
+def test_patterns_mean_what_they_mean_in_the_linear_time_dialect(spark):
+    import duckdb
+
+    texts = ["abc 1 :&", "", "aaa", "baac", "a\nb\n", "a\n", "[]$&-", "ÉéaB b_c", "a.b a{,2} {a}", "x\x0by z\t", "ΑβΓ Lu", "A#C é😀😀ü", "\n\na", "aab\x00\r\nb"]
+    frame = Frame(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"))
+    got = frame.project(*[RegexpReplace("t", p, r"<\0>", f"p{k}") for k, p in enumerate(PATTERNS)]).order_by("i").collect()
+    for row, text in zip(got, texts):
+        for k, p in enumerate(PATTERNS):
+            want = duckdb.execute("SELECT regexp_replace(?, ?, '<\\0>', 'g')", [text, p]).fetchone()[0]
+            assert row[f"p{k}"] == want, (p, text)
+
+
+def test_casts_and_rounding(hits):
+    out = hits.project(Cast("ts", "date", "d"), Cast("small", "bigint"), Round("x", 0, "r")).order_by("id", limit=1).collect()[0]
+    assert (out["d"], out["r"]) == (dt.date(2013, 7, 1), 2.0) and dict(hits.project(Cast("small", "bigint")).df.dtypes)["small"] == "bigint"
+    with pytest.raises(Exception, match="CAST"):
+        hits.project(Cast("s", "int")).collect()
+    for bad in (Cast("nothing", "int"), Round("s", 1)):
+        with pytest.raises(EngineError):
+            hits.project(bad)
 
 
 def test_orders_ties_offsets_and_limits(hits):
