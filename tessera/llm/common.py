@@ -2,37 +2,106 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import atexit
+import weakref
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.scratch import new_path
+
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where the session has none
-    (single-machine tests) a local folder is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Written tables by the frame that reads them; what is left when the driver ends goes then.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LEFT: set[str] = set()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back. The table
     outlives any executor. An explicit schema keeps the reread free of inference jobs."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _LEFT:
+        atexit.register(_remove_left, spark)
+    _WRITTEN[out] = path
+    _LEFT.add(path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _LEFT.discard(path)
+
+
+def _remove_left(spark: SparkSession) -> None:
+    try:
+        for path in list(_LEFT):
+            _remove(spark, path)
+    except Exception:  # the session ended first: its folder is the owner's to clear
+        return
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that no frame still to be run reads."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            _remove(table.sparkSession, path)
+
+
+#: No task gets more than this part of the rows for one key.
+PARTS = 4096
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` on the columns ``on``, where any key may hold most of the rows.
+
+    ``facts`` is a written table with one row per key whose ``n`` counts the key's rows. Keys with
+    more than a PARTS-th of all rows, fewer than PARTS of them, are broadcast; such a key's rows are
+    spread by ``spread`` over as many parts as keep each below that, and its fact is repeated for
+    each. Only inner and left joins; keys must not be null in ``facts``; ``n`` is left out.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") * F.lit(float(PARTS)) / F.lit(float(max(1, total)))).cast("int")
+    facts = facts.withColumn("_parts", parts)
+    heavy = facts.filter("_parts > 1").select(*on, "_parts")
+    rows = rows.join(F.broadcast(heavy), list(on), "left")
+    rows = rows.withColumn("_part", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "n")
+    return rows.join(facts, [*on, "_part"], how).drop("_part")
+
+
+#: Bits of a sieve: 8 MB, whatever the data's size.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of a fixed size over hashes of a column, in rows of 4 KB."""
+    place = F.pmod(F.xxhash64(F.lit(1), key), F.lit(SIEVE_BITS)) + 1
+    return keys.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+
+
+def sieved(rows: DataFrame, key: str, of: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only where the key is surely none of those in the
+    sieve ``of``. It spares a shuffle those rows that have nothing to meet. Where keys are many more
+    than bits it spares nothing, and nothing is lost either."""
+    place = F.pmod(F.xxhash64(F.lit(1), key), F.lit(SIEVE_BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = rows.join(F.broadcast(of), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+    return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
 
 
 def free_name(df: DataFrame, stem: str) -> str:

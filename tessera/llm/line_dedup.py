@@ -1,35 +1,49 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; a line too short to matter is joined with the lines after it, and once more with
-those before it, until the run holds ``least_words`` words. Such runs are rare where lines are not:
-a common heading names no partner, a shared passage does. Every block of at least ``least_words``
-words that two documents share consists of runs that both have. Each run names, for every document
-that holds it, the earliest document that does: at most one partner per run, however many hold it, so
-partners grow with the lines and not with their pairs. A pair is aligned with patience diff over line
-hashes, and runs of aligned lines with at least ``least_words`` words go from the later document.
-Passages that start or end inside a line are found by words (``passages``): every run of
-``least_words`` words that an earlier document holds goes, wherever lines break, and lines at its ends
-lose those words only. A run that holds enough words without a piece of under ``LEAST_PIECE`` words
-beyond a line break leaves that piece, since texts often go on with the same word by chance.
-What goes from a document always stays in an earlier one, and the earliest holder keeps it.
+Lines are hashed by their words; a line too short to matter is joined with the lines after it, and
+once more with those before it, until the run holds ``least_words`` words. Such runs are rare where
+lines are not: a common heading or closing line alone names no partner, a shared passage does. Every
+block of at least ``least_words`` words that two documents share consists of runs that both have.
+Each run names, for every document that holds it, the earliest document that does: at most one partner
+per run, however many hold it, so partners grow with the lines and not with their pairs, and no run
+is too frequent to be looked at. A pair is aligned with patience diff over line hashes, and aligned
+blocks with at least ``least_words`` words go from the later document; an exact lookup of the runs
+that no alignment reached (repeated in either document, or crossed by lines that align) follows.
+
+Passages that start or end inside a line are then found by words (``passages``) in what alignment
+leaves: every run of ``least_words`` words that an earlier document holds goes, wherever lines break,
+and lines at its ends lose those words only. A run that holds enough words without a piece of under
+``LEAST_PIECE`` words beyond a line break leaves that piece, since texts often go on with the same word
+by chance. What goes from a document always stays in an earlier one, and the earliest holder keeps it.
+Shared passages of under ``least_words`` words stay everywhere.
+
+Documents with nothing to share are told by a sieve of fixed size and are not shuffled; documents
+that hold one frequent run, and followers of one frequent document, are spread over tasks.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import passages
-from .common import WORD, bounded_batches, materialize, mix64
+from .common import WORD, bounded_batches, discard, materialize, mix64, sieve, sieved, spread_join
 
+#: Words of the shortest shared passage that goes; shorter ones are left alone everywhere.
 LEAST_WORDS = 40
 LEAST_PIECE = 4
+#: Later documents that are aligned with one copy of an earlier one's lines.
+FOLLOWERS = 1000
 #: A word with the white space before it, and after it at the end of a line.
-_SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"
+_SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\Z)?")
+_WORD = re.compile(WORD)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -85,72 +99,63 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _unaligned_blocks(a: list[int], b: list[int], words: list[int], least_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal common blocks of at least ``least_words`` words around the runs of lines of ``b`` that
-    ``a`` has too and that no block of ``found`` holds."""
-    of = dict(zip(b, words))
-    count = [of.get(x, 0) for x in a]  # a line that b lacks is in no common run
-    marks = np.array(a + b, np.int64)
-    low, high, rows, keys = _runs(marks, np.array(count + words, np.int64), np.array([0, len(a), len(marks)], np.int64), least_words)
-    held: dict[int, list[int]] = {}
-    for i, key in zip(low[rows == 0].tolist(), keys[rows == 0].tolist()):
-        held.setdefault(key, []).append(i)
-    out: list[tuple[int, int]] = []
-    todo, reach = sorted(found, reverse=True), 0  # the furthest end of a block that starts at a line or before it
-    for j, end, key in sorted(zip((low[rows == 1] - len(a)).tolist(), (high[rows == 1] - len(a)).tolist(), keys[rows == 1].tolist())):
-        while todo and todo[-1][0] <= j:
-            reach = max(reach, todo.pop()[1])
-        for i in held.get(key, ()):
-            if reach >= end:
-                break
-            if a[i : i + end - j] != b[j:end]:
-                continue
-            x, y = j, end
-            while x and i > j - x and a[i - j + x - 1] == b[x - 1]:
-                x -= 1
-            while y < len(b) and i - j + y < len(a) and a[i - j + y] == b[y]:
-                y += 1
-            reach = max(reach, y)
-            out.append((x, y))
-    return out
+def _held(marks: list[int], words: list[int], least_words: int) -> dict[int, tuple[int, int]]:
+    """A place of each run of lines by its hash."""
+    low, high, _, keys = _runs(np.array(marks, np.int64), np.array(words, np.int64), np.array([0, len(marks)], np.int64), least_words)
+    return dict(zip(keys.tolist(), zip(low.tolist(), high.tolist())))
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int) -> list[tuple[int, int]]:
-    """Ranges of ``b`` that align with ``a`` line by line and hold at least ``least_words`` words.
-    A passage that stands in ``b`` more than once is found as often: what is left is aligned again.
-    When that gives no more, runs that no alignment reached (repeated in either, or crossed by lines
-    that align) are looked up: no common block of so many words is left."""
-    left = list(range(len(b)))
+def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int, held: dict[int, tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Ranges of ``b``, whose lines hold ``words``, that ``a`` has too and that hold at least
+    ``least_words`` words: first blocks of lines that patience diff aligns, then, wherever they stand and
+    however often, the runs of lines that no such block holds, joined where they overlap. No common
+    block of so many words is left. ``held`` has the runs of ``a`` if they are known. The time
+    follows the lines, but for the nesting of anchors."""
     out: list[tuple[int, int]] = []
-    while left:
-        pairs = [(i, left[j]) for i, j in patience(a, [b[j] for j in left])]
-        new, start = [], 0
-        for k in range(1, len(pairs) + 1):
-            if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
-                low, high = pairs[start][1], pairs[k - 1][1] + 1
-                if sum(words[low:high]) >= least_words:
-                    new.append((low, high))
-                start = k
-        if not new:
-            break
-        out += new
-        gone = {j for low, high in new for j in range(low, high)}
-        left = [j for j in left if j not in gone]
-    mine = set(a)
-    if any(words[j] and b[j] in mine for j in left):
-        out += _unaligned_blocks(a, b, words, least_words, out)
-    return sorted(out)
+    pairs, start = patience(a, b), 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            low, high = pairs[start][1], pairs[k - 1][1] + 1
+            if sum(words[low:high]) >= least_words:
+                out.append((low, high))
+            start = k
+    if held is None:
+        of = dict(zip(b, words))
+        held = _held(a, [of.get(x, 0) for x in a], least_words)  # a line that b lacks is in no common run
+    low, high, _, keys = _runs(np.array(b, np.int64), np.array(words, np.int64), np.array([0, len(b)], np.int64), least_words)
+    todo, reach = out[::-1], 0  # the furthest end of an aligned block that starts at a line or before it
+    more: list[tuple[int, int]] = []
+    for j, end, key in sorted(zip(low.tolist(), high.tolist(), keys.tolist())):
+        while todo and todo[-1][0] <= j:
+            reach = max(reach, todo.pop()[1])
+        if end <= reach or key not in held:
+            continue
+        i, stop = held[key]
+        if a[i:stop] == b[j:end]:
+            if more and j < more[-1][1]:
+                more[-1] = (more[-1][0], max(end, more[-1][1]))
+            else:
+                more.append((j, end))
+    return sorted(out + more)
 
 
 def _aligned(least_words: int):
+    """Blocks of later documents; rows of one earlier document come together, its own first."""
+
     def run(batches):
+        mine, first, held = None, [], {}
         for batch in batches:
             rid, lead, ranges = [], [], []
-            for r, o, a, b, w in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                blocks = common_blocks(a, b, w, least_words)
+            for of, part, kind, r, marks, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if not kind:
+                    mine, first, held = (of, part), marks, _held(marks, words, least_words)
+                    continue
+                if mine != (of, part):
+                    raise ValueError(f"the lines of {of} are missing")
+                blocks = common_blocks(first, marks, words, least_words, held)
                 if blocks:
                     rid.append(r)
-                    lead.append(o)
+                    lead.append(of)
                     ranges.append([x for block in blocks for x in block])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid, pa.int64()), pa.array(lead, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], ["rid", "lead", "ranges"]
@@ -175,7 +180,7 @@ def cut_words(words: np.ndarray, gone: np.ndarray, runs: list[int], least_words:
     np.add.at(change, np.asarray(runs, np.int64), 1)
     np.add.at(change, np.asarray(runs, np.int64) + least_words, -1)
     cut = np.zeros(len(change) - 1, bool)
-    for low, high in _edges(np.cumsum(change)[:-1] > 0):
+    for low, high in _edges((np.cumsum(change)[:-1] > 0) | np.repeat(gone, words)):
         first, last = np.searchsorted(ends, [low, high - 1], side="right")
         if starts[first] < low and ends[first] - low < LEAST_PIECE and high - ends[first] >= least_words:
             low = int(ends[first])
@@ -189,39 +194,6 @@ def cut_words(words: np.ndarray, gone: np.ndarray, runs: list[int], least_words:
     return cut
 
 
-def _masks(least_words: int):
-    """Which lines stay, which words of lines that stay in part, and the ranges that go, from all
-    partners' ranges of lines and the runs of words of a document."""
-
-    def run(batches):
-        for batch in batches:
-            keep, some, removed, cuts = [], [], [], []
-            for words, many, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                words = np.array(words, np.int64)
-                gone = np.zeros(len(words), bool)
-                for ranges in many or []:
-                    for low, high in zip(ranges[::2], ranges[1::2]):
-                        gone[low:high] = True
-                cut = cut_words(words, gone, runs or [], least_words)
-                parts: list = [None] * len(words)
-                texts = []
-                ends = np.cumsum(words)
-                for line in np.unique(np.searchsorted(ends, np.flatnonzero(cut), side="right")):
-                    if not gone[line]:
-                        mine = cut[ends[line] - words[line] : ends[line]]
-                        parts[line] = (~mine).tolist()
-                        texts += [f"{line}:{low}-{high}" for low, high in _edges(mine)]
-                keep.append(~gone)
-                some.append(parts)
-                removed.append(",".join(f"{low}-{high}" for low, high in _edges(gone)))
-                cuts.append(",".join(texts))
-            kinds = [pa.list_(pa.bool_()), pa.list_(pa.list_(pa.bool_())), pa.string(), pa.string()]
-            columns = [pa.array(x, kind) for x, kind in zip((keep, some, removed, cuts), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rid", "keep", "some", "removed", "cut"])
-
-    return run
-
-
 def _runs(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
     """Start, end, row and hash of each shortest run of lines that holds ``least_words`` words, from every line
     with words onward and from every such line back; rows are stretches of ``marks`` by ``offsets``."""
@@ -242,80 +214,127 @@ def _runs(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words
     return low, high, rows, keys.view(np.int64)
 
 
-def run_keys(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each of these runs."""
-    return _runs(marks, words, offsets, least_words)[2:]
-
-
-def _run_keys(least_words: int):
-    def run(batches):
-        for batch in batches:
-            marks = batch.column(1)
-            offsets = marks.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            rows, keys = run_keys(np.ascontiguousarray(marks.flatten().to_numpy()), batch.column(2).flatten().to_numpy().astype(np.int64), offsets, least_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys)], ["rid", "key"])
+def cut_text(text: str, ranges: list[int], runs: list[int], whole: bool, least_words: int) -> tuple[str, int, str, str]:
+    """What is left of a text, how many lines go, their ranges, and the ranges of words that go from
+    lines that stay. ``whole``: all lines go."""
+    lines = text.split("\n")
+    if whole:
+        return "", len(lines), f"0-{len(lines)}", ""
+    words = np.array([len(_WORD.findall(x)) for x in lines], np.int64)
+    gone = np.zeros(len(lines), bool)
+    for low, high in zip(ranges[::2], ranges[1::2]):
+        gone[low:high] = True
+    cut = cut_words(words, gone, runs, least_words)
+    ends = np.cumsum(words)
+    cuts = []
+    for line in np.unique(np.searchsorted(ends, np.flatnonzero(cut), side="right")):
+        if not gone[line]:
+            mine = cut[ends[line] - words[line] : ends[line]]
+            lines[line] = "".join(x for x, away in zip(_SPACED.findall(lines[line]), mine) if not away)
+            cuts += [f"{line}:{low}-{high}" for low, high in _edges(mine)]
+    left = "\n".join(x for x, away in zip(lines, gone) if not away)
+    return left, int(gone.sum()), ",".join(f"{low}-{high}" for low, high in _edges(gone)), ",".join(cuts)
+
+
+def _cut(least_words: int) -> Column:
+    @F.pandas_udf("text string, n_removed long, removed string, cut string")
+    def cut(text: pd.Series, ranges: pd.Series, runs: pd.Series, whole: pd.Series) -> pd.DataFrame:
+        empty = lambda x: [] if x is None else list(x)
+        rows = [("", 0, "", "") if t is None else cut_text(t, empty(a), empty(b), bool(w), least_words) for t, a, b, w in zip(text, ranges, runs, whole)]
+        return pd.DataFrame(rows, columns=["text", "n_removed", "removed", "cut"])
 
-    return run
+    return cut
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFrame:
+    """``rid, lead, ranges``: the lines of later documents that align with those of the earliest holder
+    of a run. ``shared`` (``rid, keys``) has the shared keys, ``lines`` (``rid, marks, words``) the
+    lines of each document."""
+    runs = shared.select("rid", F.explode(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1)).alias("key"))
+    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count("*").alias("n")).filter("lead < last").drop("last")
+    leads = materialize(leads, "ld-leads")
+    pairs = spread_join(runs, leads, ["key"], F.xxhash64("rid")).filter("rid <> lead").select("rid", "lead").distinct()
+    pairs = materialize(pairs, "ld-pairs")
+    many = materialize(pairs.groupBy("lead").agg(F.count("*").alias("n"), F.count("*").alias("followers")), "ld-followers")
+    parts = F.ceil(F.col("followers") / F.lit(float(FOLLOWERS)))
+    pairs = spread_join(pairs, many, ["lead"], F.xxhash64("rid")).withColumn("part", F.pmod(F.xxhash64("rid"), parts).cast("int"))
+    pairs = materialize(pairs.select("rid", "lead", "part"), "ld-parts")
+    later = pairs.withColumn("kind", F.lit(1))
+    earlier = pairs.select(F.col("lead").alias("rid"), "lead", "part").distinct().withColumn("kind", F.lit(0))
+    both = earlier.unionByName(later).join(lines, "rid").select("lead", "part", "kind", "rid", "marks", "words")
+    both = both.repartition("lead", "part").sortWithinPartitions("lead", "part", "kind")
+    found = materialize(both.mapInArrow(_aligned(least_words), "rid long, lead long, ranges array<int>"), "ld-blocks")
+    discard(leads, pairs, many)
+    return found
 
 
-def word_runs(docs: DataFrame, order: DataFrame, least_words: int) -> DataFrame:
-    """``rid, runs, leads`` of each text (``digest, text``; rows of ``order``: ``digest, rid``) that
-    shares words with earlier ones: starts of runs of words, and the documents that hold them first.
-    A repeated text counts once, at its first row: the others lose all their lines anyway."""
-    said = materialize(docs.select(F.col("digest").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(passages.words, "doc long, hashes array<int>"), "ld-words")
-    # sent by key once, for the aggregate and the join alike
-    grams = said.mapInArrow(passages.grams(least_words), "gram long, doc long").repartition("gram")
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("gram")
-    mine = grams.join(shared, "gram").groupBy("doc").agg(F.collect_set("gram").alias("shared"))
-    mine = mine.join(order.groupBy(F.col("digest").alias("doc")).agg(F.min("rid").alias("rid")), "doc")
-    mine = materialize(mine, "ld-grams")
-    runs = said.join(mine, "doc").select("rid", "hashes", "shared").mapInArrow(passages.windows(least_words), "key long, rid long, at int").repartition("key")
-    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.max("at").alias("at")).filter("lead < last and at >= 0").select("key", "lead")
-    found = runs.join(leads, "key").filter("rid <> lead").groupBy("rid")
-    return materialize(found.agg(F.collect_set("at").alias("runs"), F.collect_set("lead").alias("leads")), "ld-runs")
+def word_runs(said: DataFrame, least_words: int) -> DataFrame:
+    """``rid, runs, leads``: starts of the runs of words that go from each document, and the documents
+    that hold them first, of ``rid, hashes, words, keys, ranges``."""
+    runs = materialize(said.mapInArrow(passages.windows(least_words), "key long, rid long, at int"), "ld-windows")
+    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count("*").alias("n")).filter("lead < last").drop("last")
+    leads = materialize(leads, "ld-holders")
+    found = spread_join(runs, leads, ["key"], F.xxhash64("rid", "at")).filter("rid <> lead")
+    found = materialize(found.groupBy("rid").agg(F.collect_set("at").alias("runs"), F.collect_set("lead").alias("leads")), "ld-runs")
+    discard(runs, leads)
+    return found
 
 
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``id, digest, keep, some, removed, cut, donors`` of each document (``id, text``) that loses
-    lines or words."""
+    """``place, digest, n, whole, ranges, runs, donors`` of each document (``id, text``) that loses lines
+    or words: hashes of its id and text, and how many rows repeat both. A written table."""
     bounded_batches(docs.sparkSession)
-    bare = lambda line: F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
-    texts = docs.select(F.xxhash64("text").alias("digest"), "text")
-    docs = docs.select("id", F.xxhash64("text").alias("digest"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    docs = docs.select(
-        "id", "digest",
-        F.transform("lines", lambda x: F.xxhash64(F.lit(1), bare(x))).alias("marks"),
-        F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
-    )
-    docs = materialize(docs, "ld-lines").dropDuplicates(["id", "digest"])
-    # ids in document order, so the earliest of many is a plain minimum
-    docs = docs.orderBy(F.col("id").asc_nulls_last(), "digest").withColumn("rid", F.monotonically_increasing_id())
-    docs = materialize(docs, "ld-ordered")
+    kind = docs.schema["id"].dataType
+    docs = docs.select("id", _digest(F.col("text")).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("octets"), "text")
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    fields = [*docs.schema.fields[:-1], T.StructField("hashes", ints), T.StructField("words", ints), T.StructField("marks", longs), T.StructField("keys", longs)]
+    said = docs.mapInArrow(passages.described(least_words, _runs), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id())
+    said = materialize(said, "ld-said")
 
-    runs = docs.select("rid", "marks", "words").mapInArrow(_run_keys(least_words), "rid long, key long")
-    leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead < last").select("key", "lead")
-    pairs = materialize(runs.join(leads, "key").filter("rid <> lead").select("rid", "lead").distinct(), "ld-pairs")
-
-    later = docs.select("rid", F.col("marks").alias("b"), "words")
-    earlier = docs.select(F.col("rid").alias("lead"), F.col("marks").alias("a"))
-    both = pairs.join(later, "rid").join(earlier, "lead").select("rid", "lead", "a", "b", "words")
-    found = materialize(both.mapInArrow(_aligned(least_words), "rid long, lead long, ranges array<int>"), "ld-blocks")
-    inside = word_runs(texts, docs.select("digest", "rid"), least_words)
-    names = docs.select(F.col("rid").alias("lead"), F.struct("id").alias("donor"))
-    leads = found.select("rid", "lead").union(inside.select("rid", F.explode("leads").alias("lead"))).distinct()
-    donors = leads.join(names, "lead").groupBy("rid").agg(F.sort_array(F.collect_set("donor")).alias("donors"))
-    per = found.groupBy("rid").agg(F.collect_list("ranges").alias("many")).join(inside.select("rid", "runs"), "rid", "full").join(donors, "rid")
-    per = per.join(docs.select("rid", "words", "id", "digest"), "rid")
-    per = materialize(per.select("rid", "words", "many", "runs", "id", "digest", F.col("donors.id").alias("donors")), "ld-deleted")
-    masks = per.select("rid", "words", "many", "runs").mapInArrow(
-        _masks(least_words), "rid long, keep array<boolean>, some array<array<boolean>>, removed string, cut string"
+    # ids in document order, so the earliest of many is a plain minimum
+    size = F.aggregate("words", F.lit(0), lambda x, y: x + y)
+    rows = said.groupBy("id", "digest", "octets").agg(F.min("row").alias("row"), F.max(size).alias("size"), F.count("*").alias("n"))
+    order = materialize(rows.orderBy(F.col("id").asc_nulls_last(), "digest", "octets").withColumn("rid", F.monotonically_increasing_id()), "ld-order")
+    # a repeated text is looked at once, at its first document
+    first = order.groupBy("digest", "octets").agg(F.min("rid").alias("rid"), F.min_by("row", "rid").alias("row"), F.count("*").alias("n"))
+    first = materialize(first, "ld-first")
+
+    keys = said.select("digest", "row", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
+    shared = materialize(shared, "ld-shared")
+    mine = spread_join(keys, shared, ["key"], F.col("row")).groupBy("row").agg(F.collect_list("key").alias("keys"))
+    mine = materialize(mine.join(first.select("row", "rid"), "row"), "ld-keys")
+    meet = sieve(mine, "row")
+    some = sieved(said, "row", meet, "meets").filter("meets")
+    lines = materialize(some.select("row", "marks", "words").join(mine.select("row", "rid"), "row").drop("row"), "ld-lines")
+    blocks = line_blocks(mine, lines, least_words)
+    per = materialize(blocks.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.collect_set("lead").alias("leads")), "ld-ranges")
+    inside = some.select("row", "hashes", "words").join(mine, "row").join(per.select("rid", "ranges"), "rid", "left")
+    inside = word_runs(inside.select("rid", "hashes", "words", "keys", "ranges"), least_words)
+
+    # copies of a text lose all lines; like its first document they owe them to that one's donors, and to it
+    firsts = per.withColumnRenamed("leads", "of_lines").join(inside, "rid", "full").select(
+        "rid", "ranges", "runs", F.array_union(F.coalesce("of_lines", F.array().cast(longs)), F.coalesce("leads", F.array().cast(longs))).alias("leads"), F.lit(False).alias("whole")
     )
-    return masks.join(per.select("rid", "id", "digest", "donors"), "rid").drop("rid")
+    firsts = materialize(firsts, "ld-firsts")
+    copied = first.filter("n > 1").select("digest", "octets", "n", F.col("rid").alias("of")).join(firsts.select(F.col("rid").alias("of"), "leads"), "of", "left")
+    copied = materialize(copied.select("digest", "octets", "n", "of", F.array_union(F.array("of"), F.coalesce("leads", F.array().cast(longs))).alias("leads")), "ld-copied")
+    copies = spread_join(order.filter(F.col("size") >= least_words).select("rid", "digest", "octets"), copied, ["digest", "octets"], F.col("rid")).filter("rid <> of")
+    copies = copies.select("rid", F.lit(None).cast(ints).alias("ranges"), F.lit(None).cast(ints).alias("runs"), "leads", F.lit(True).alias("whole"))
+    gone = materialize(firsts.unionByName(copies), "ld-gone")
+    owed = gone.select("rid", F.explode("leads").alias("lead"))
+    names = owed.groupBy("lead").agg(F.count("*").alias("n")).join(order.select(F.col("rid").alias("lead"), F.struct("id").alias("donor")), "lead")
+    names = materialize(names, "ld-names")
+    donors = spread_join(owed, names, ["lead"], F.col("rid")).groupBy("rid").agg(F.sort_array(F.collect_set("donor")).alias("donors"))
+    out = gone.drop("leads").join(order.select("rid", "id", "digest", "n"), "rid").join(donors, "rid")
+    out = out.select(F.xxhash64("id").alias("place"), "digest", "n", "whole", "ranges", "runs", F.col("donors.id").cast(T.ArrayType(kind)).alias("donors"))
+    out = materialize(out, "ld-deletions")
+    discard(said, order, first, shared, mine, lines, blocks, per, inside, firsts, copied, gone, names)
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -326,26 +345,27 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_W
 
     Documents are ordered by key, null keys last; rows that repeat both key and text are one
     document and are treated alike, rows that repeat a key only are ordered by a hash of their text.
-    Lines compare by their words, so white space does not matter; blank lines align but start no
+    Documents that repeat an earlier text of ``least_words`` words or more lose all of it. Lines
+    compare by hashes of their words, so white space does not matter; blank lines align but start no
     run. Null texts stay null and have no lines. A text whose lines all go becomes empty.
     Extra columns pass through. An empty table gives no rows.
     """
-    gone = materialize(deletions(docs.select(F.col(key).alias("id"), "text"), least_words), "ld-masks")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"))
-    out = rows.join(gone.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("digest")), "left")
-    before = F.col("row.text")  # the row is shipped once; its text is no column beside it
-    lines = _lines(before)
-    zipped = F.arrays_zip(lines.alias("line"), F.col("keep").alias("keep"), F.col("some").alias("some"))
-    left = lambda x: F.array_join(F.filter(F.regexp_extract_all(x["line"], F.lit(_SPACED), F.lit(0)), lambda w, i: F.get(x["some"], i)), "")
-    kept = F.transform(F.filter(zipped, lambda x: x["keep"]), lambda x: F.when(x["some"].isNull(), x["line"]).otherwise(left(x)))
-    text = F.when(F.col("keep").isNull(), before).otherwise(F.array_join(kept, "\n"))
-    dropped = F.coalesce(F.size(F.filter("keep", lambda x: ~x)), F.lit(0)).cast("long")
-    return out.select(
-        F.col("row").withField("text", text).alias("row"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("keep").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("n_removed"),
-        F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("cut", F.lit("")).alias("cut"),
-        F.coalesce("donors", F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("donors"),
+    gone = deletions(docs.select(F.col(key).alias("id"), "text"), least_words)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(key).alias("place"), _digest(F.col("text")).alias("digest"))
+    rows = sieved(rows, "digest", sieve(gone, "digest"), "loses")
+    met = spread_join(rows.filter("loses"), gone, ["place", "digest"], F.rand(1), "left")
+    before, none = F.col("row.text"), F.array().cast(T.ArrayType(docs.schema[key].dataType))
+    loses = F.col("whole").isNotNull()
+    left = _cut(least_words)(F.when(loses, before), "ranges", "runs", "whole")
+    met = met.withColumn("left", left).select(
+        "row", F.when(loses, F.col("left.text")).otherwise(before).alias("text"), "left.n_removed", "left.removed", "left.cut", F.coalesce("donors", none).alias("donors")
+    )
+    apart = rows.filter("not loses").select(
+        "row", before.alias("text"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"), F.lit("").alias("cut"), none.alias("donors")
     )
+    out = met.unionByName(apart)
+    lines = F.coalesce(F.length(before) - F.length(F.translate(before, "\n", "")) + 1, F.lit(0)).cast("long")
+    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), lines.alias("n_lines"), "n_removed", "removed", "cut", "donors")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:

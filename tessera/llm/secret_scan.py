@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize, shared_dir
+from tessera.sources.scratch import new_path
+
+from .common import materialize
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,7 @@ def span_text(spans: str) -> Column:
 def op5(spark, sf_dir: str) -> DataFrame:
     """All documents against an empty ledger of the run's own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    ledger = new_path(spark, "secret-ledger")
     out = scan_history(docs, ledger, path="doc_id")
     text = span_text("spans")
     return out.select(

@@ -146,7 +146,7 @@ def test_tables_follow_the_number_of_vectors():
 
 
 def test_patience_aligns_moved_and_repeated_lines():
-    a, b = list("abcXdefY"), list("QabcdefYabc")
+    a, b = list(map(ord, "abcXdefY")), list(map(ord, "QabcdefYabc"))
     pairs = line_dedup.patience(a, b)
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs, key=lambda p: p[1])
     assert line_dedup.common_blocks(a, b, [1] * len(b), 3) == [(1, 4), (4, 8), (8, 11)]
