@@ -43,7 +43,6 @@ LEAST_PIECE = 4
 FOLLOWERS = 1000
 #: A word with the white space before it, and after it at the end of a line.
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\Z)?")
-_WORD = re.compile(WORD)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -147,6 +146,7 @@ def _aligned(least_words: int):
         for batch in batches:
             rid, lead, ranges = [], [], []
             for of, part, kind, r, marks, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                marks, words = np.frombuffer(marks, np.int64).tolist(), np.frombuffer(words, np.int32).tolist()
                 if not kind:
                     mine, first, held = (of, part), marks, _held(marks, words, least_words)
                     continue
@@ -214,13 +214,11 @@ def _runs(marks: np.ndarray, words: np.ndarray, offsets: np.ndarray, least_words
     return low, high, rows, keys.view(np.int64)
 
 
-def cut_text(text: str, ranges: list[int], runs: list[int], whole: bool, least_words: int) -> tuple[str, int, str, str]:
+def cut_text(text: str, ranges: list[int], runs: list[int], least_words: int) -> tuple[str, int, str, str]:
     """What is left of a text, how many lines go, their ranges, and the ranges of words that go from
-    lines that stay. ``whole``: all lines go."""
+    lines that stay."""
     lines = text.split("\n")
-    if whole:
-        return "", len(lines), f"0-{len(lines)}", ""
-    words = np.array([len(_WORD.findall(x)) for x in lines], np.int64)
+    words = np.array([len(x.split()) for x in text.encode().split(b"\n")], np.int64)  # bytes split at ASCII white space
     gone = np.zeros(len(lines), bool)
     for low, high in zip(ranges[::2], ranges[1::2]):
         gone[low:high] = True
@@ -238,9 +236,9 @@ def cut_text(text: str, ranges: list[int], runs: list[int], whole: bool, least_w
 
 def _cut(least_words: int) -> Column:
     @F.pandas_udf("text string, n_removed long, removed string, cut string")
-    def cut(text: pd.Series, ranges: pd.Series, runs: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        empty = lambda x: [] if x is None else list(x)
-        rows = [("", 0, "", "") if t is None else cut_text(t, empty(a), empty(b), bool(w), least_words) for t, a, b, w in zip(text, ranges, runs, whole)]
+    def cut(text: pd.Series, ranges: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        empty = lambda x: [] if x is None else x
+        rows = [("", 0, "", "") if t is None else cut_text(t, empty(a), empty(b), least_words) for t, a, b in zip(text, ranges, runs)]
         return pd.DataFrame(rows, columns=["text", "n_removed", "removed", "cut"])
 
     return cut
@@ -252,7 +250,7 @@ def _digest(text: Column) -> Column:
 
 def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFrame:
     """``rid, lead, ranges``: the lines of later documents that align with those of the earliest holder
-    of a run. ``shared`` (``rid, keys``) has the shared keys, ``lines`` (``rid, marks, words``) the
+    of a run. ``shared`` (``rid, keys``) has the shared keys, ``lines`` (``rid, marks, sizes``) the
     lines of each document."""
     runs = shared.select("rid", F.explode(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1)).alias("key"))
     leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count("*").alias("n")).filter("lead < last").drop("last")
@@ -265,7 +263,7 @@ def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFr
     pairs = materialize(pairs.select("rid", "lead", "part"), "ld-parts")
     later = pairs.withColumn("kind", F.lit(1))
     earlier = pairs.select(F.col("lead").alias("rid"), "lead", "part").distinct().withColumn("kind", F.lit(0))
-    both = earlier.unionByName(later).join(lines, "rid").select("lead", "part", "kind", "rid", "marks", "words")
+    both = earlier.unionByName(later).join(lines, "rid").select("lead", "part", "kind", "rid", "marks", "sizes")
     both = both.repartition("lead", "part").sortWithinPartitions("lead", "part", "kind")
     found = materialize(both.mapInArrow(_aligned(least_words), "rid long, lead long, ranges array<int>"), "ld-blocks")
     discard(leads, pairs, many)
@@ -274,7 +272,7 @@ def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFr
 
 def word_runs(said: DataFrame, least_words: int) -> DataFrame:
     """``rid, runs, leads``: starts of the runs of words that go from each document, and the documents
-    that hold them first, of ``rid, hashes, words, keys, ranges``."""
+    that hold them first, of ``rid, hashes, sizes, keys, ranges``."""
     runs = materialize(said.mapInArrow(passages.windows(least_words), "key long, rid long, at int"), "ld-windows")
     leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count("*").alias("n")).filter("lead < last").drop("last")
     leads = materialize(leads, "ld-holders")
@@ -291,13 +289,12 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     kind = docs.schema["id"].dataType
     docs = docs.select("id", _digest(F.col("text")).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("octets"), "text")
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    fields = [*docs.schema.fields[:-1], T.StructField("hashes", ints), T.StructField("words", ints), T.StructField("marks", longs), T.StructField("keys", longs)]
+    fields = [*docs.schema.fields[:-1], T.StructField("words", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("hashes", "sizes", "marks")], T.StructField("keys", longs)]
     said = docs.mapInArrow(passages.described(least_words, _runs), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id())
     said = materialize(said, "ld-said")
 
     # ids in document order, so the earliest of many is a plain minimum
-    size = F.aggregate("words", F.lit(0), lambda x, y: x + y)
-    rows = said.groupBy("id", "digest", "octets").agg(F.min("row").alias("row"), F.max(size).alias("size"), F.count("*").alias("n"))
+    rows = said.groupBy("id", "digest", "octets").agg(F.min("row").alias("row"), F.max("words").alias("words"), F.count("*").alias("n"))
     order = materialize(rows.orderBy(F.col("id").asc_nulls_last(), "digest", "octets").withColumn("rid", F.monotonically_increasing_id()), "ld-order")
     # a repeated text is looked at once, at its first document
     first = order.groupBy("digest", "octets").agg(F.min("rid").alias("rid"), F.min_by("row", "rid").alias("row"), F.count("*").alias("n"))
@@ -310,11 +307,11 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     mine = materialize(mine.join(first.select("row", "rid"), "row"), "ld-keys")
     meet = sieve(mine, "row")
     some = sieved(said, "row", meet, "meets").filter("meets")
-    lines = materialize(some.select("row", "marks", "words").join(mine.select("row", "rid"), "row").drop("row"), "ld-lines")
+    lines = materialize(some.select("row", "marks", "sizes").join(mine.select("row", "rid"), "row").drop("row"), "ld-lines")
     blocks = line_blocks(mine, lines, least_words)
     per = materialize(blocks.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.collect_set("lead").alias("leads")), "ld-ranges")
-    inside = some.select("row", "hashes", "words").join(mine, "row").join(per.select("rid", "ranges"), "rid", "left")
-    inside = word_runs(inside.select("rid", "hashes", "words", "keys", "ranges"), least_words)
+    inside = some.select("row", "hashes", "sizes").join(mine, "row").join(per.select("rid", "ranges"), "rid", "left")
+    inside = word_runs(inside.select("rid", "hashes", "sizes", "keys", "ranges"), least_words)
 
     # copies of a text lose all lines; like its first document they owe them to that one's donors, and to it
     firsts = per.withColumnRenamed("leads", "of_lines").join(inside, "rid", "full").select(
@@ -323,7 +320,7 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     firsts = materialize(firsts, "ld-firsts")
     copied = first.filter("n > 1").select("digest", "octets", "n", F.col("rid").alias("of")).join(firsts.select(F.col("rid").alias("of"), "leads"), "of", "left")
     copied = materialize(copied.select("digest", "octets", "n", "of", F.array_union(F.array("of"), F.coalesce("leads", F.array().cast(longs))).alias("leads")), "ld-copied")
-    copies = spread_join(order.filter(F.col("size") >= least_words).select("rid", "digest", "octets"), copied, ["digest", "octets"], F.col("rid")).filter("rid <> of")
+    copies = spread_join(order.filter(F.col("words") >= least_words).select("rid", "digest", "octets"), copied, ["digest", "octets"], F.col("rid")).filter("rid <> of")
     copies = copies.select("rid", F.lit(None).cast(ints).alias("ranges"), F.lit(None).cast(ints).alias("runs"), "leads", F.lit(True).alias("whole"))
     gone = materialize(firsts.unionByName(copies), "ld-gone")
     owed = gone.select("rid", F.explode("leads").alias("lead"))
@@ -355,17 +352,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_W
     rows = sieved(rows, "digest", sieve(gone, "digest"), "loses")
     met = spread_join(rows.filter("loses"), gone, ["place", "digest"], F.rand(1), "left")
     before, none = F.col("row.text"), F.array().cast(T.ArrayType(docs.schema[key].dataType))
-    loses = F.col("whole").isNotNull()
-    left = _cut(least_words)(F.when(loses, before), "ranges", "runs", "whole")
-    met = met.withColumn("left", left).select(
-        "row", F.when(loses, F.col("left.text")).otherwise(before).alias("text"), "left.n_removed", "left.removed", "left.cut", F.coalesce("donors", none).alias("donors")
+    loses, whole = F.col("whole").isNotNull(), F.coalesce("whole", F.lit(False))
+    lines = F.coalesce(F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    left = _cut(least_words)(F.when(loses & ~whole, before), "ranges", "runs")
+    text = F.when(whole, F.lit("")).when(loses, F.col("left.text")).otherwise(before)
+    met = met.withColumn("n_lines", lines).withColumn("left", left).select(
+        "row", "n_lines", text.alias("text"), F.when(whole, F.col("n_lines")).otherwise(F.col("left.n_removed")).alias("n_removed"),
+        F.when(whole, F.concat(F.lit("0-"), F.col("n_lines").cast("string"))).otherwise(F.col("left.removed")).alias("removed"), "left.cut", F.coalesce("donors", none).alias("donors"),
     )
     apart = rows.filter("not loses").select(
-        "row", before.alias("text"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"), F.lit("").alias("cut"), none.alias("donors")
+        "row", lines.alias("n_lines"), before.alias("text"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"), F.lit("").alias("cut"), none.alias("donors")
     )
     out = met.unionByName(apart)
-    lines = F.coalesce(F.length(before) - F.length(F.translate(before, "\n", "")) + 1, F.lit(0)).cast("long")
-    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), lines.alias("n_lines"), "n_removed", "removed", "cut", "donors")
+    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_lines", "n_removed", "removed", "cut", "donors")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -90,12 +90,27 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(column.flatten().to_numpy()), offsets - offsets[0]
 
 
-def _lists(parts: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.Array:
-    """A list column of consecutive stretches of rows, each of values and row offsets."""
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column end to end, and the rows' offsets."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw.copy().view(kind), (at - at[0]) // kind().itemsize
+
+
+def _packed(parts: list[tuple[np.ndarray, np.ndarray]], kind: type) -> pa.Array:
+    """A binary column of the numbers of consecutive stretches of rows; arrays of numbers would be
+    written and read one number at a time."""
+    values = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, kind)
+    sizes = np.concatenate([np.diff(o) for _, o in parts]) if parts else np.zeros(0, np.int64)
+    offsets = (np.concatenate([[0], np.cumsum(sizes)]) * kind().itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, kind))])
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     values = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, np.int64)
     sizes = np.concatenate([np.diff(o) for _, o in parts]) if parts else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
 def line_marks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,9 +133,10 @@ def _distinct(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def described(least: int, line_runs):
-    """``hashes`` of the words of each text, ``words`` and ``marks`` of its lines, and the distinct
-    ``keys`` by which it may be found: those of its runs of lines, which are odd, and those of its
-    chosen grams, which are even. Batches have the text last; the other columns stay."""
+    """The number of ``words`` of each text; packed ``hashes`` (32 bits) of them, ``sizes`` in words (32)
+    and ``marks`` (64) of its lines; and the distinct ``keys`` by which it may be found: those of its
+    runs of lines, which are odd, and those of its chosen grams, which are even. Batches have the text
+    last; the other columns stay."""
 
     def run(batches):
         for batch in batches:
@@ -137,10 +153,9 @@ def described(least: int, line_runs):
                 found = np.concatenate([of_lines | 1, keys[places].view(np.int64) & ~1])
                 for into, x in zip(parts, ((hashes, at), (count, lines), (marks, lines), _distinct(np.concatenate([of, of_grams]), found, b - a))):
                     into.append(x)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(_lists(x, kind) for x, kind in zip(parts, kinds))], [*batch.schema.names[:-1], "hashes", "words", "marks", "keys"]
-            )
+            total = np.concatenate([np.diff(at) for _, at in parts[0]]) if parts[0] else np.zeros(0, np.int64)
+            made = [pa.array(total, pa.int64()), _packed(parts[0], np.int32), _packed(parts[1], np.int32), _packed(parts[2], np.int64), _lists(parts[3])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "words", "hashes", "sizes", "marks", "keys"])
 
     return run
 
@@ -151,8 +166,8 @@ def windows(least: int):
 
     def run(batches):
         for batch in batches:
-            hashes, offsets = _flat(batch.column(1))
-            count, lines = _flat(batch.column(2))
+            hashes, offsets = _numbers(batch.column(1), np.int32)
+            count, lines = _numbers(batch.column(2), np.int32)
             keys, bounds = _flat(batch.column(3))
             starts, at, grams = chosen(hashes, offsets, least)
             rows = np.searchsorted(offsets, starts, side="right") - 1
