@@ -64,21 +64,23 @@ def discard(*tables: DataFrame) -> None:
 PARTS = 4096
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``facts`` on the columns ``on``, where any key may hold most of the rows.
 
-    ``facts`` is a written table with one row per key whose ``n`` counts the key's rows. Keys with
-    more than a PARTS-th of all rows, fewer than PARTS of them, are broadcast; such a key's rows are
-    spread by ``spread`` over as many parts as keep each below that, and its fact is repeated for
-    each. Only inner and left joins; keys must not be null in ``facts``; ``n`` is left out.
+    ``facts`` has one row per key. ``counts``, a written table and ``facts`` itself unless given, has
+    ``n``, the number of rows of each of its keys. Keys with more than a PARTS-th of all rows, fewer
+    than PARTS of them, are broadcast; such a key's rows are spread by ``spread`` over as many parts
+    as keep each below that, and its fact is repeated for each. Only inner and left joins; keys must
+    not be null in ``facts``; ``n`` is left out.
     """
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    parts = F.ceil(F.col("n") * F.lit(float(PARTS)) / F.lit(float(max(1, total)))).cast("int")
-    facts = facts.withColumn("_parts", parts)
-    heavy = facts.filter("_parts > 1").select(*on, "_parts")
-    rows = rows.join(F.broadcast(heavy), list(on), "left")
+    counts = facts if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") * F.lit(float(PARTS)) / F.lit(float(max(1, total)))).cast("int").alias("_parts")
+    heavy = F.broadcast(counts.select(*on, parts).filter("_parts > 1"))
+    rows = rows.join(heavy, list(on), "left")
     rows = rows.withColumn("_part", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "n")
+    facts = facts.join(heavy, list(on), "left")
+    facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "n")
     return rows.join(facts, [*on, "_part"], how).drop("_part")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -30,13 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``(u, v)``: every node that ``edges`` (long columns ``u, v``) names with another, and the least
     node of its component; the least nodes themselves are left out. Loops and repeated edges do
     nothing; no edges give no rows. Each round is written to the shared folder, and the rounds end
-    when a round changes nothing, about log of the longest path. Only one row of sums a round
-    reaches the driver."""
+    when a round changes nothing, about log of the longest path; a round's table is removed when the
+    next one is written. Only one row of sums a round reaches the driver."""
     edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "cc-edges")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
         if state == before or not state[0]:
             return edges
-        before = state
-        edges = materialize(_stars(_stars(edges, small=False), small=True), "cc-edges")
+        before, old = state, edges
+        edges = materialize(_stars(_stars(old, small=False), small=True), "cc-edges")
+        discard(old)

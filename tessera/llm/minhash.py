@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialize, mix64, slices, utf8_view
+from .common import bounded_batches, discard, materialize, mix64, sieve, sieved, slices, spread_join, utf8_view
 from .components import components
 
 MISS, BANDS, SLACK = 1e-8, 36, 6.0
@@ -223,10 +223,12 @@ def may_link(plan: Plan, n1: Column, n2: Column, odd1: Column, odd2: Column) ->
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The ``(u, v)`` of ``pairs`` whose full sets are near enough. ``sets`` has ``cid, shingles``."""
+    """The ``(u, v)`` of ``pairs`` (a written table) whose full sets are near enough. ``sets`` has
+    ``cid, shingles``. A class with many partners is repeated for parts of them."""
     u = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("s"))
     v = sets.select(F.col("cid").alias("v"), F.col("shingles").alias("t"))
-    both = pairs.select("u", "v").join(v, "v").join(u, "u")
+    partners = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "nd-partners")
+    both = spread_join(pairs.select("u", "v").join(v, "v"), u, ["u"], F.col("v"), counts=partners)
     common = F.size(F.array_intersect("s", "t")).cast("long")
     union = F.size("s") + F.size("t") - common
     return both.filter(common * 100 >= union * plan.part).select("u", "v")
@@ -237,19 +239,28 @@ def grouped(docs: DataFrame, plan: Plan) -> DataFrame:
     the components, null without shingles."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketches(docs, plan), "nd-sketches")
-    full = rows.filter("n_shingles > 0")
-    classes = full.groupBy("d0", "d1").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("odd").alias("odd")
+    # the representative text of a class is one of its least id, or of a null id if it has no other
+    text = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    classes = rows.filter("n_shingles > 0").groupBy("d0", "d1").agg(
+        F.min("doc_id").alias("rep"), text.alias("text_hash"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("odd").alias("odd")
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
     links = class_links(docs, classes, plan)
-    comps = components(links).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
-    named = classes.select("cid", "rep", "d0", "d1", "n_copies").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("d0").alias("e0"), F.col("d1").alias("e1"), "comp", "component_id", "n_copies")
-    out = rows.join(named, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & (F.col("n_shingles") > 0), "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", "comp", own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    linked = components(links)
+    comps = linked.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
+    named = classes.select("cid", "rep", "d0", "d1", "n").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = materialize(named, "nd-named")
+    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "nd-least")
+    named = spread_join(named.select("d0", "d1", "comp", "cid", F.col("n").alias("n_copies")), least, ["comp"], F.col("cid")).select("d0", "d1", "comp", "component_id", "n_copies")
+    named = materialize(named.withColumn("n", F.col("n_copies")), "nd-facts")
+    discard(classes, links, linked, least)
+    own = ["doc_id", "text_hash", "n_shingles", "comp", "component_id", "n_copies"]
+    full = spread_join(rows.filter("n_shingles > 0").drop("keys", "odd"), named, ["d0", "d1"], F.xxhash64("doc_id", "text_hash")).select(*own)
+    kind = docs.schema["doc_id"].dataType
+    bare = rows.filter("n_shingles = 0").select(
+        "doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").cast(kind).alias("component_id"), F.lit(1).cast("long").alias("n_copies")
+    )
+    return full.unionByName(bare)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80) -> DataFrame:
@@ -269,52 +280,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80) -> DataFram
 def keep_one(docs: DataFrame, words: int = 5, part: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: that of the least doc_id, null ids last,
     among those the one of the least text hash. Rows without words all stay. All columns pass
-    through."""
-    rows = materialize(grouped(docs, Plan(words, part)).select("doc_id", "text_hash", "n_shingles", "comp"), "nd-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    some = rows.filter("n_shingles > 0")
-    first = some.groupBy("comp").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_th"), F.lit(False).alias("_bare"))
-    bare = rows.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.lit(True).alias("_bare")).distinct()
-    stay = materialize(first.unionAll(bare), "nd-stay")
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
-    out = whole.join(stay.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    if not some.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # rows that repeat id and text
-        out = out.filter("_bare").unionAll(out.filter("not _bare").dropDuplicates(["_doc", "_hash"]))
-    return out.select("row.*")
+    through. Rows whose id and text need no decision are told by a sieve and do not move."""
+    rows = grouped(docs, Plan(words, part)).filter("n_shingles > 0")
+    rows = materialize(rows.groupBy("comp", "doc_id", "text_hash", "component_id").agg(F.count("*").alias("n")), "nd-rows")
+    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("text_hash").alias("least"))
+    first = materialize(rows.groupBy("comp").agg(F.count("*").alias("n")).join(first, "comp"), "nd-first")
+    told = spread_join(rows.withColumnRenamed("n", "copies"), first, ["comp"], F.col("text_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("least"))
+    told = told.select(F.xxhash64("doc_id").alias("place"), "text_hash", stays.alias("stays"), F.col("copies").alias("n")).filter("not stays or n > 1")
+    told = materialize(told, "nd-told")
+    discard(rows, first)
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("text_hash"))
+    told, whole = (x.withColumn("spot", F.xxhash64("place", "text_hash")) for x in (told, whole))
+    whole, told = sieved(whole, "spot", sieve(told, "spot"), "told").drop("spot"), told.drop("spot")
+    met = spread_join(whole.filter("told"), told, ["place", "text_hash"], F.rand(1), "left")
+    kept = met.filter("stays is null").select("row").unionAll(whole.filter("not told").select("row"))
+    if not told.filter("stays").isEmpty():  # rows that repeat id and text
+        kept = kept.unionAll(met.filter("stays").dropDuplicates(["place", "text_hash"]).select("row"))
+    return kept.select("row.*")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """``(u, v)`` class ids that are linked: enough of them to connect all that should be connected."""
     facts = classes.select("cid", "n_shingles", "odd")
     members = classes.select("cid", F.explode("keys").alias("key"))
-    leads = members.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(members.join(leads, "key"), "nd-buckets")  # only classes that share a bucket
+    leads = materialize(members.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "nd-leads")
+    members = materialize(spread_join(members, leads, ["key"], F.col("cid")), "nd-buckets")  # only classes that share a bucket
 
     first = members.filter("cid <> lead").groupBy("cid").agg(F.min("lead").alias("lead"))
-    pairs = _fetch(first.select(F.col("lead").alias("u"), F.col("cid").alias("v")), facts)
+    pairs = _fetch(materialize(first.select(F.col("lead").alias("u"), F.col("cid").alias("v")), "nd-first-pairs"), facts)
     pairs = materialize(pairs.filter(may_link(plan, *map(F.col, ("n_u", "n_v", "odd_u", "odd_v")))).select("u", "v"), "nd-pairs")
     near = members.select("cid").distinct()
-    reps = near.join(classes.select("cid", "rep", "d0", "d1"), "cid")
-    texts = docs.join(reps.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(reps["rep"])).select("cid", "d0", "d1", "text")
+    reps = materialize(near.join(classes.select("cid", F.xxhash64("rep").alias("place"), "text_hash", "d0", "d1", "n"), "cid"), "nd-reps")
+    texts = docs.select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("text_hash"), "text").withColumn("spot", F.xxhash64("place", "text_hash"))
+    texts = sieved(texts, "spot", sieve(reps.select(F.xxhash64("place", "text_hash").alias("spot")), "spot"), "near").filter("near").drop("spot")
+    texts = spread_join(texts, reps, ["place", "text_hash"], F.rand(1)).select("cid", "d0", "d1", "text")
     sets = materialize(full_sets(texts, plan.words), "nd-sets")
-    if sets.count() != near.count():  # rows that repeat both id and text
+    if sets.count() != reps.count():  # rows that repeat both id and text
         sets = materialize(sets.dropDuplicates(["cid"]), "nd-sets")
     links = materialize(confirmed(pairs, sets, plan), "nd-links")
 
-    comps = components(links).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
+    linked = components(links)
+    comps = linked.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
     labelled = members.select("key", "cid").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     labelled = materialize(labelled, "nd-labelled")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    rows = labelled.join(open_, "key").join(facts, "cid")
-    more = _block_pairs(rows, plan)
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", "n")
+    open_ = materialize(open_, "nd-open")
+    rows = materialize(spread_join(labelled, open_, ["key"], F.col("cid")).join(facts, "cid"), "nd-rows")
+    more = materialize(_block_pairs(rows, plan), "nd-block-pairs")
     more = materialize(confirmed(more, sets, plan), "nd-more")
-    return links.unionAll(more)
+    discard(leads, members, pairs, reps, sets, linked, labelled, open_, rows)
+    return materialize(links.unionAll(more), "nd-all-links")
 
 
 def _fetch(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    for side in ("u", "v"):
-        pairs = pairs.join(facts.select(F.col("cid").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}")), side)
-    return pairs
+    """``pairs`` (a written table) with the facts of both; ``u`` may have any number of partners."""
+    partners = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "nd-partners")
+    u, v = (facts.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "uv")
+    return spread_join(pairs.join(v, "v"), u, ["u"], F.col("v"), counts=partners)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -323,13 +346,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     A component with BLOCK classes or more in a bucket has blocks of its own, so no two of its
     classes ever meet; the smaller ones share mixed blocks, which come first."""
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"), F.count("*").alias("n"))
     parts = materialize(parts.withColumn("own", F.when(F.col("m") >= BLOCK, F.ceil(F.col("m") / F.lit(BLOCK))).otherwise(F.lit(0)).cast("int")), "nd-parts")
     mixed = F.sum(F.when(F.col("own") == 0, F.col("m")).otherwise(F.lit(0)))
-    totals = parts.groupBy("key").agg(F.ceil(mixed / F.lit(BLOCK)).cast("int").alias("mixed"), F.sum("own").cast("int").alias("owned"))
+    totals = parts.groupBy("key").agg(F.ceil(mixed / F.lit(BLOCK)).cast("int").alias("mixed"), F.sum("own").cast("int").alias("owned"), F.sum("n").alias("n"))
+    totals = materialize(totals, "nd-totals")
     before = W.partitionBy("key").orderBy("comp").rowsBetween(W.unboundedPreceding, -1)  # at most 1 / BLOCK of the rows
     large = parts.filter("own > 0").select("key", "comp", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("skip"))
-    rows = rows.join(totals, "key").join(large, ["key", "comp"], "left")
+    rows = spread_join(rows, totals, ["key"], F.col("cid"))
+    rows = spread_join(rows, large, ["key", "comp"], F.col("cid"), "left", counts=parts.select("key", "comp", "n"))
     pure = F.col("own").isNotNull()
     spread = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     low = F.when(pure, F.col("mixed") + F.col("skip")).otherwise(F.lit(0))

@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))  # tests share their plain versions
+
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 LONG = " ".join(f"w{i % 977} tail{i}" for i in range(40_000))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, shard string, row string"
