@@ -1,11 +1,12 @@
 """Mixing sources to target weights: equal-token blocks apportioned by Sainte-Laguë.
 
 Documents of a source are split by a stable hash into shards whose number follows its row count;
-inside a shard they form one token stream in seeded order, cut into blocks of equal size. Sources
-get whole blocks by highest quotients ``target / (2k + 1)``, a source's blocks go to its shards in
-the same way by the shards' block counts, and each shard takes its quota as whole passes over its
-stream plus a seeded circular run of blocks. Documents stand in random order, so a run of blocks is
-a random choice of documents, and only the two at its ends are cut.
+inside a shard they form one token stream in seeded order, cut into blocks of equal size. The size
+follows the smallest target, so that even that is many blocks. Sources get blocks by highest
+quotients ``target / (2k + 1)``, a source's blocks go to its shards in the same way by the shards'
+block counts, and each shard takes the words of its quota as whole passes over its stream plus a
+circular run that starts at a seeded block. Documents stand in random order, so a run is a random
+choice of documents, and only the two at its ends are cut.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import Window as W
 
 from .common import WORD, materialize, word_count
 
-BLOCK = 16
+#: Words of the largest block, and blocks of the smallest target, unless that has fewer words.
+BLOCK, LEAST_BLOCKS = 16, 50
+#: Sources are a registry, not data: one row of each reaches the driver; more raise.
+MOST_SOURCES = 100_000
 SHARD_ROWS = 20_000
 SEED = 17
 
@@ -74,6 +78,11 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return got
 
 
+def block_words(targets: list[float], most: int) -> int:
+    """Words of a block: at most ``most``, and few enough for the smallest positive target."""
+    return max(1, min([most, *(int(t // LEAST_BLOCKS) for t in targets if t > 0)]))
+
+
 def _shard_quotas(block: int, seed: int) -> Callable:
     def quotas(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("shard", kind="stable").reset_index(drop=True)
@@ -81,9 +90,10 @@ def _shard_quotas(block: int, seed: int) -> Callable:
         quota = sainte_lague(blocks, int(table["source_quota"].iloc[0]), 2 * blocks)
         draw = [np.random.default_rng([seed, int(s), int(i)]).random() for s, i in zip(table["shard"], table["source_no"])]
         start = np.minimum((np.array(draw) * blocks).astype(np.int64), np.maximum(blocks - 1, 0))
+        want = np.minimum(quota * block, 2 * table["tokens"].to_numpy(np.int64))  # the last block may be short
         return pd.DataFrame({
-            "source_no": table["source_no"], "shard": table["shard"], "tokens": table["tokens"], "blocks": blocks,
-            "quota": quota, "start": start, "source_size": table["source_size"], "target": table["target"],
+            "source_no": table["source_no"], "shard": table["shard"], "tokens": table["tokens"],
+            "want": want, "start": start * block, "source_size": table["source_size"], "target": table["target"],
         })
 
     return quotas
@@ -99,14 +109,17 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One row for each source and shard (tokens, blocks, quota, start of the run, and the source's
-    size and target), and the number of shards of each source. ``sizes`` is read twice, so give a
-    written table. One row per source reaches the driver: sources are a registry, not data."""
+    """One row for each source and shard (tokens, words of its quota, start of the run in words, and
+    the source's size and target), and the number of shards of each source. ``sizes`` is read twice,
+    so give a written table. One row per source reaches the driver; more than MOST_SOURCES raise."""
     spark = sizes.sparkSession
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    if len(by_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     totals = [int(r["size"] or 0) for r in by_source]
     targets = capped_targets(totals, [weight_of(i) for i in range(len(totals))], share)
+    block = block_words(targets, block)
     caps = np.array([2 * (-(-s // block)) for s in totals], np.int64)
     quotas = sainte_lague(np.array(targets), round(sum(targets) / block), caps) if totals else np.zeros(0, np.int64)
     shards = spark.createDataFrame(
@@ -119,7 +132,7 @@ def shard_plan(sizes: DataFrame, weight_of: Callable[[int], float], share: float
     per_shard = _sharded(sizes, shards, seed).groupBy("source_no", "shard").agg(F.sum("size").alias("tokens"))
     plan = per_shard.join(facts, "source_no").groupBy("source_no").applyInPandas(
         _shard_quotas(block, seed),
-        "source_no int, shard int, tokens long, blocks long, quota long, start long, source_size long, target double",
+        "source_no int, shard int, tokens long, want long, start long, source_size long, target double",
     )
     return materialize(plan, "mix-plan"), shards
 
@@ -130,20 +143,21 @@ def _sharded(docs: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash"), F.col("shards")).cast("int"))
 
 
-def placed(docs: DataFrame, plan: DataFrame, shards: DataFrame, block: int, seed: int) -> DataFrame:
+def placed(docs: DataFrame, plan: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
     """``docs`` (with ``doc_id, source, size, text_hash``) with what the mix takes of each row:
     ``passes`` whole copies, then the words ``first`` to ``first_end`` and ``second`` to
-    ``second_end`` of it, ``taken`` in all. Rows equal in id, size and text may swap places."""
+    ``second_end`` of it, ``taken`` in all. Rows equal in id, size and text may swap places; they are
+    all of one shard."""
     order = [F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_hash"), "doc_id", "size", "text_hash"]
     before = W.partitionBy("source_no", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = _sharded(docs, shards, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     out = out.join(plan, ["source_no", "shard"])  # partitioned alike: the rows move once
-    n, zero = F.greatest(F.col("blocks"), F.lit(1)), F.lit(0).cast("long")
-    run, at, size = F.col("quota") % n, F.col("at"), F.col("size")
-    last = F.least((F.col("start") + run) * block, F.col("tokens"))
-    wrap = F.least(F.greatest(F.col("start") + run - F.col("blocks"), zero) * block, F.col("tokens"))
-    out = out.withColumn("passes", F.floor(F.col("quota") / n).cast("long"))
-    for name, low, high in (("first", zero, wrap), ("second", F.col("start") * block, last)):
+    n, zero = F.greatest(F.col("tokens"), F.lit(1)), F.lit(0).cast("long")
+    at, size, stop = F.col("at"), F.col("size"), F.col("start") + F.col("want") % n
+    last = F.least(stop, F.col("tokens"))
+    wrap = F.greatest(stop - F.col("tokens"), zero)
+    out = out.withColumn("passes", F.floor(F.col("want") / n).cast("long"))
+    for name, low, high in (("first", zero, wrap), ("second", F.col("start"), last)):
         low, high = F.greatest(low, at) - at, F.least(high, at + size) - at
         out = out.withColumn(name, F.when(high > low, low).otherwise(zero)).withColumn(f"{name}_end", F.when(high > low, high).otherwise(zero))
     extra = F.col("first_end") - F.col("first") + F.col("second_end") - F.col("second")
@@ -152,11 +166,13 @@ def placed(docs: DataFrame, plan: DataFrame, shards: DataFrame, block: int, seed
 
 def mix_plan(docs: DataFrame, weight_of: Callable[[int], float], share: float = 1.5, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source`` of every row of ``docs`` (``doc_id,
-    source, text``). A null source is a source of its own, after all others. Null and empty texts
-    take part with nothing; repeated rows are rows of their own; an empty table stays empty."""
+    source, text``); ``block`` bounds a block's words. A source's words are those of its blocks: within
+    half a block of its target, where the seats' rounding leaves that. A null source is a source of
+    its own, after all others. Null and empty texts take part with nothing; repeated rows are rows of
+    their own; an empty table stays empty."""
     sizes = materialize(_sized(docs).drop("row", "text"), "mix-sizes")
     plan, shards = shard_plan(sizes, weight_of, share, block, seed)
-    return placed(sizes, plan, shards, block, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return placed(sizes, plan, shards, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def contract_weight(i: int) -> float:
@@ -171,7 +187,7 @@ def mixed_documents(docs: DataFrame, weight_of: Callable[[int], float] = contrac
     out. Columns of any other name pass through."""
     sizes = materialize(_sized(docs).drop("row", "text"), "mix-sizes")
     plan, shards = shard_plan(sizes, weight_of, share, block, seed)
-    out = placed(_sized(docs).drop("text"), plan, shards, block, seed).filter("taken > 0")  # the row has it
+    out = placed(_sized(docs).drop("text"), plan, shards, seed).filter("taken > 0")  # the row has it
     text = F.col("row.text")
     extra, size = F.col("taken") - F.col("passes") * F.col("size"), F.col("size")
     whole = F.array_repeat(text, (F.col("passes") + F.when(extra == size, 1).otherwise(0)).cast("int"))
