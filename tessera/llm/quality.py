@@ -5,7 +5,9 @@ words are distinct, repeat the word before, are capitals or carry signs, how lon
 are. Counts are damped and weighted by inverse document frequency; a truncated SVD of the labelled
 sample gives the latent space. The sample's vectors and labels are broadcast (their number is a
 bound, not the data's), every document is compared with all of them by blocked matrix products, and
-its NEIGHBOURS nearest vote with their similarity as weight.
+its NEIGHBOURS nearest vote with their similarity as weight. Terms, basis and vectors are rounded to
+whole numbers before they are multiplied, so that products are exact and a text scores alike
+whatever texts stand beside it; of equally near vectors the first in the sample's order votes.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ PER_LABEL, MOST_BYTES = 1500, 1 << 16
 #: Shape terms: measures, each with STEPS + 1 levels, and the weight of their block.
 STEPS, SHAPE_WEIGHT = 10, 1.0
 _SHAPES = 7
+#: Steps of 1 that terms and basis, and latent vectors, are rounded to: sums of so many products of
+#: such numbers stay below 2**53.
+_TERM_STEPS, _STEPS = float(1 << 20), float(1 << 23)
 
 
 def fold(doc_id: Column) -> Column:
@@ -78,7 +83,7 @@ class QualityModel:
     idf: np.ndarray
     shape_idf: np.ndarray  # measure x level
     basis: np.ndarray  # all terms x DIM
-    vectors: np.ndarray  # labelled x DIM, unit length
+    vectors: np.ndarray  # labelled x DIM, unit length, in whole steps
     labels: np.ndarray
     prior: float
 
@@ -96,8 +101,9 @@ class QualityModel:
         return np.concatenate([counts, hot], 1)
 
     def project(self, counts: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        latent = self.weighted(counts, shape) @ self.basis
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        """Latent vectors of unit length, in whole steps."""
+        latent = np.rint(self.weighted(counts, shape).astype(np.float64) * _TERM_STEPS) @ np.rint(self.basis * _TERM_STEPS)
+        return np.rint(latent * (_STEPS / np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-12)))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Label 1's share of the similarity-weighted vote; the prior where there is nothing to go by."""
@@ -105,14 +111,23 @@ class QualityModel:
         if not len(self.labels):
             return np.full(rows, self.prior)
         similar = self.project(*terms(data, offsets)) @ self.vectors.T
-        k = min(NEIGHBOURS, similar.shape[1])
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(float) ** SHARPNESS
+        near = nearest(similar, min(NEIGHBOURS, similar.shape[1]))
+        weight = np.maximum(np.take_along_axis(similar, near, 1) / (_STEPS * _STEPS), 0) ** SHARPNESS
         total = weight.sum(1)
         vote = (weight * self.labels[near]).sum(1)
         return np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
 
 
+def nearest(similar: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` highest values of each row, the first of equals, in their own order."""
+    least = -np.partition(-similar, k - 1, axis=1)[:, k - 1 : k]
+    above, level = similar > least, similar == least
+    room = k - above.sum(1, keepdims=True)
+    crowded = np.flatnonzero(level.sum(1) > room[:, 0])
+    level[crowded] &= np.cumsum(level[crowded], axis=1) <= room[crowded]
+    return np.nonzero(above | level)[1].reshape(len(similar), k)
+
+
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> QualityModel:
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
@@ -137,8 +152,8 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
         q = x.T @ (x @ q)
     q, _ = np.linalg.qr(q)
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    model.basis = np.ascontiguousarray((q @ vt.T)[:, :DIM], np.float32)
-    model.vectors, model.labels = model.project(counts, shape).astype(np.float32), np.array(labels, float)
+    model.basis = np.ascontiguousarray((q @ vt.T)[:, :DIM], np.float64)
+    model.vectors, model.labels = np.concatenate([model.project(counts[i : i + 512], shape[i : i + 512]) for i in range(0, n, 512)]), np.array(labels, float)
     return model
 
 
