@@ -4,7 +4,8 @@ A text is its lower-cased byte n-grams (2 to 4 bytes, words marked by the spaces
 gram has an embedding; a text's vector is their mean; a linear layer and softmax give the languages.
 Embeddings and layer are trained by stochastic gradient descent in numpy on a bounded sample; then
 a temperature is fitted on rows kept out of training, and a rejection bar is set on the calibrated
-score. Since mean and layer are linear, scoring uses one logit table per language.
+score. Since mean and layer are linear, scoring uses one logit table per language where languages
+are no more than dimensions, and else the embeddings themselves, averaged and multiplied once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .ngrams import drop_tails, gram_counts, gram_hashes, letters_only, row_sums
 BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
 #: Bounds of the training sample: rows per language, rows in all, bytes of one text.
 PER_LANGUAGE, MOST_ROWS, MOST_BYTES = 600, 4000, 1 << 16
+#: One count per language reaches the driver; more languages raise.
+MOST_LANGUAGES = 4000
 UNKNOWN = "und"
 #: A row is rejected if its calibrated score says that the prediction is likelier wrong than right
 #: (BAR) and lies well below those of all calibration rows that are right (BAR_SHARE), or if training
@@ -43,12 +46,13 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # language x bucket: the logit a gram adds; bucket 0 is empty
+    table: np.ndarray  # language or dimension x bucket: what a gram adds; bucket 0 is empty
     bias: np.ndarray
     temperature: float
     bar: float  # least calibrated score
     known: np.ndarray  # bucket: 1.0 where training saw a gram of it
     known_bar: float  # least share of grams that training saw
+    layer: np.ndarray | None = None  # dimension x language, where the table has dimensions
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of each framed row, and the share of its grams that training saw."""
@@ -62,7 +66,10 @@ class LanguageModel:
             for i, row in enumerate(rows):
                 total[i] += row_sums(row[h], offsets)
         mean = (total / np.maximum(grams, 1)).T
-        return mean[:, :-1] + self.bias, mean[:, -1]
+        if self.layer is None:
+            return mean[:, :-1] + self.bias, mean[:, -1]
+        # one dimension after the other, so that a row's sum does not depend on its neighbours
+        return sum((mean[:, j, None] * self.layer[j] for j in range(len(self.layer))), self.bias), mean[:, -1]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, known = self.logits(data, offsets)
@@ -151,11 +158,12 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
         push = np.repeat(back, np.diff(starts), axis=0) * (share * -now)[:, None]
         for j in range(DIM):
             embedding[:, j] += np.bincount(buckets, push[:, j], 1 << BITS)
-    table = np.ascontiguousarray((embedding @ layer).T, dtype=np.float32)
+    few = k <= DIM
+    table = np.ascontiguousarray((embedding @ layer if few else embedding).T, dtype=np.float32)
     table[:, 0] = 0
     known = seen.astype(np.float32)
     known[0] = 0
-    model = LanguageModel(languages, table, bias.astype(float), 1.0, BAR if k > 1 else 0.0, known, 0.0)
+    model = LanguageModel(languages, table, bias.astype(float), 1.0, BAR if k > 1 else 0.0, known, 0.0, None if few else layer.astype(float))
     if len(kept_out):
         parts = [model.logits(*_framed([texts[i] for i in kept_out[k : k + 64]])) for k in range(0, len(kept_out), 64)]
         raw, share = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
@@ -174,7 +182,9 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """At most MOST_ROWS (text, lang), about as many of each language, chosen by a hash of the row
     among those whose fold is not 0, whose lang is not null and whose text has 1 to MOST_BYTES bytes."""
     rows = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return []
     each = min(PER_LANGUAGE, max(1, MOST_ROWS // len(counts)))
@@ -190,7 +200,9 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``, from whole texts alone. Null texts
     and texts without a letter are ``und``, score 0, rejected; so is all if nothing was learned.
-    Rejection: the calibrated score or the share of known grams is under its bar. Columns of these names are replaced."""
+    Rejection: the calibrated score or the share of known grams is under its bar. Columns of these
+    names are replaced. Texts of any length are read whole, long ones in a batch of their own; rows
+    that repeat score alike; an empty table stays empty."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
