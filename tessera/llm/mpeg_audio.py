@@ -2,8 +2,9 @@
 
 ``parse`` reads any MPEG-1/2/2.5 Layer I to III stream: it skips ID3v2 and APE tags and ID3v1,
 finds the first frame, walks from header to header, resynchronises after damage, reads Xing/Info
-and VBRI tables, verifies CRC-16 protected headers and gives the exact duration as samples over
-rate and the byte offset of every frame. ``encode`` wraps bytes in a legal Layer III stream: silent
+and VBRI tables, verifies the CRC-16 of protected frames of each layer (over what that layer
+protects) and gives the exact duration as samples over rate and the byte offset of every frame.
+Free-format frames, whose headers do not tell their length, count as skipped bytes. ``encode`` wraps bytes in a legal Layer III stream: silent
 frames whose ancillary bytes carry them, behind an ID3v2 tag and an Info table, so any player
 accepts the file and ``payload`` gives the bytes back.
 """
@@ -53,6 +54,22 @@ def crc16(columns: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 (0x8005, from 0xFFFF) of the first ``bits`` bits."""
+    crc = 0xFFFF
+    for byte in data[: bits // 8]:
+        crc = (crc << 8 & 0xFFFF) ^ int(_CRC[crc >> 8 ^ byte])
+    for k in range(bits % 8):
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15 ^ data[bits // 8] >> 7 - k) & 1 else 0)
+    return crc
+
+
+#: Layer II: bits of a band's allocation, by table; a table has as many as it has bands.
+_ALLOCATION = (
+    [4] * 11 + [3] * 12 + [2] * 4, [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 6, [4] * 2 + [3] * 10, [4] * 4 + [3] * 7 + [2] * 19,
+)
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
@@ -63,6 +80,35 @@ class Header:
     length: int
     samples: int
     mono: bool
+    bound: int = 32  # bands from here on share their allocation between channels
+
+    @property
+    def bands(self) -> list[int]:
+        """Bits of the allocation of each band of Layer I or II."""
+        if self.layer == 1:
+            return [4] * 32
+        each = self.kbps if self.mono else self.kbps // 2
+        if self.version != 3:
+            return _ALLOCATION[4]
+        if each >= 56 and (self.rate == 48000 or each <= 80):
+            return _ALLOCATION[0]
+        if each >= 96:
+            return _ALLOCATION[1]
+        return _ALLOCATION[2 if self.rate != 32000 else 3]
+
+    def protected_bits(self, frame: bytes) -> int:
+        """Bits after the CRC that it covers: side information in Layer III; bit allocation in Layer
+        I; bit allocation and, for each band that has bits, scale factor selection in Layer II."""
+        if self.layer == 3:
+            return 8 * self.side
+        channels, at, used = 2 - self.mono, 48, 0
+        word = int.from_bytes(frame, "big")
+        for band, bits in enumerate(self.bands):
+            fields = channels if band < self.bound else 1
+            for _ in range(fields):
+                used += (word >> len(frame) * 8 - at - bits & (1 << bits) - 1 > 0) * (channels if fields < channels else 1)
+                at += bits
+        return at - 48 + (2 * used if self.layer == 2 else 0)
 
     @property
     def side(self) -> int:
@@ -90,7 +136,8 @@ def header(word: int) -> Header | None:
         else:
             samples = 576 if layer == 3 and version != 3 else 1152
             length = samples // 8 * 1000 * kbps // hz + pad
-        found = Header(version, layer, not word >> 16 & 1, kbps, hz, length, samples, word >> 6 & 3 == 3)
+        bound = ((word >> 4 & 3) + 1) * 4 if word >> 6 & 3 == 1 else 32
+        found = Header(version, layer, not word >> 16 & 1, kbps, hz, length, samples, word >> 6 & 3 == 3, bound)
     if len(_HEADERS) < 1 << 16:
         _HEADERS[word] = found
     return found
@@ -235,6 +282,13 @@ def _parse(data: bytes, end: int, tags: list[tuple[str, int]]) -> Stream:
         good = int((crc16(raw[cover]) == stored).sum())
         out.crc_ok += good
         out.crc_bad += len(at_) - good
+    for spot, h in zip(spots, every):
+        if h.protected and h.layer != 3:
+            frame = bytes(data[spot : spot + h.length])
+            bits = h.protected_bits(frame)
+            good = 48 + bits <= 8 * h.length and crc16_bits(frame[2:4] + frame[6:], 16 + bits) == int.from_bytes(frame[4:6], "big")
+            out.crc_ok += good
+            out.crc_bad += not good
     return out
 
 
@@ -298,7 +352,8 @@ def feature(stream: Stream) -> str:
 def probe(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with ``duration`` (seconds), ``samples, rate, frames, crc_bad, skipped``, ``seek``
     (byte offset of every frame) and ``feature`` of the binary column. Null and empty values, and
-    bytes without any frame, give zeros and an empty ``seek``. Columns of these names are replaced."""
+    bytes without any frame, give zeros and an empty ``seek``. Columns of these names are replaced;
+    repeated rows stay and are read alike; an empty table stays empty."""
     bounded_batches(media.sparkSession)
     made = ["duration", "samples", "rate", "frames", "crc_bad", "skipped", "seek", "feature"]
     kept = [c for c in media.columns if c.lower() not in made]
@@ -320,7 +375,8 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media`` of every row: the whole text (null: empty) as a stream."""
+    """``doc_id, n_bytes, media`` of every row: the whole text (null: empty) as a stream. Repeated rows
+    stay; an empty table stays empty; other columns are not read."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
 
@@ -334,24 +390,32 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features from the stored bytes alone (``doc_id, n_bytes, media``)."""
+    """Digests, features, exact durations and seek offsets from the stored bytes alone (``doc_id,
+    n_bytes, media``): ``duration`` in seconds, ``samples``, and in ``seek`` the byte offset of every
+    frame. Repeated rows are read alike; an empty table stays empty."""
     media = media.select("doc_id", "n_bytes", "media")
+    names = {
+        "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string",
+        "feature": "string", "duration": "double", "samples": "long", "seek": "array<long>",
+    }
 
     def run(batches):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             rows = []
             for value in batch.column(2):
                 data = value.as_py()
                 stream = parse(data)
                 body = payload(data, stream)
-                rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream)))
+                rows.append((
+                    len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(data), hashlib.sha256(data).hexdigest(),
+                    feature(stream), stream.duration, stream.samples, stream.offsets,
+                ))
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, " + ", ".join(f"{name} {kind}" for name, kind in names.items()))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
