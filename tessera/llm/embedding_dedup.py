@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, discard, materialize, spread_join
 from .components import components
 
 MISS, BUCKET, BLOCK, SEED = 1e-6, 64, 1024, 90_001
@@ -231,21 +231,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     members = members.repartition(*group).sortWithinPartitions(*group).mapInArrow(
         _promising(most_different(cosine)), "t int, code int, dim int, b0 int, b1 int, block int, cid long"
     )
-    members = materialize(members, "ed-promising").join(coded.select("cid", "n_copies", "codes", "embedding"), "cid")
+    promising = materialize(members, "ed-promising")
+    members = promising.join(coded.select("cid", "n_copies", "codes", "embedding"), "cid")
     members = members.select(*group, "block", "cid", "n_copies", "codes", "embedding")
     found = members.repartition(*group).sortWithinPartitions(*group).mapInArrow(_search(cosine), "cid long, links long, root long")
     found = materialize(found, "ed-links")
-    comps = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
+    linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
+    comps = linked.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.select("cid", "rep", "n_copies", "h0", "h1").join(links, "cid", "left").join(comps, "cid", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "cid"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    named = named.join(least, "comp").select(
-        F.col("h0").alias("g0"), F.col("h1").alias("g1"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("links"), "least"
+    named = materialize(named.withColumn("comp", F.coalesce("comp", "cid")), "ed-named")
+    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "ed-least")
+    named = spread_join(named, least, ["comp"], F.col("cid")).select(
+        "h0", "h1", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("links"), "least", F.col("n_copies").alias("n")
     )
-    out = rows.select("key", "ok", "h0", "h1").join(named, F.col("ok") & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
-    own = F.when(F.col("ok"), F.col("least")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("key").eqNullSafe(own).alias("kept"))
+    named = materialize(named, "ed-facts")
+    discard(classes, coded, promising, found, linked, least)
+    # copies of one vector may be any part of the rows
+    full = spread_join(rows.filter("ok").select("key", "h0", "h1"), named, ["h0", "h1"], F.xxhash64("key")).select("key", "links", F.col("least").alias("own"))
+    bare = rows.filter("not ok").select("key", F.lit(0).cast("long").alias("links"), F.col("key").alias("own"))
+    out = full.unionByName(bare)
+    return out.select(F.col("key").alias(key), F.col("links").cast("long").alias("n_links"), F.col("own").alias("component_id"), F.col("key").eqNullSafe(F.col("own")).alias("kept"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
