@@ -19,6 +19,8 @@ from .common import bounded_batches
 
 #: Pre-tokens in each of the two generations that a worker remembers; speed only, never the result.
 MEMO = 300_000
+#: Characters of a pre-token that is remembered, so that the memo's bytes are bounded too.
+MEMO_LETTERS = 128
 _MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -162,7 +164,8 @@ class Tokenizer:
                     self.older = dict(self)
                     self.clear()
                 found = self.older.get(token) or outer._piece(token.encode())
-                self[token] = found
+                if len(token) <= MEMO_LETTERS:
+                    self[token] = found
                 return found
 
         self.memo = Memo()
@@ -231,7 +234,8 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``doc_id``, number of tokens and digests of the ids and of the bytes they decode to, for every
     row of ``docs`` (``doc_id, text``), and the ids themselves if asked for; otherwise they stay
-    inside the worker. A null text is empty: no ids, digests of nothing."""
+    inside the worker. A null text is empty: no ids, digests of nothing. Repeated rows are coded alike;
+    an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     shared = _broadcast(docs.sparkSession, path)
     docs = docs.select("doc_id", "text")

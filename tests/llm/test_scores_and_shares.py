@@ -2,16 +2,19 @@
 
 import hashlib
 import itertools
+import math
 import random
+import struct
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, quality, secret_scan, sharding
+from tessera.llm import langid, mixing, ngrams, quality, secret_scan, sharding
 from tessera.llm.common import materialize
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,9 +65,77 @@ def test_language_score_does_not_depend_on_neighbours():
     assert (together == alone).all()
 
 
+def test_language_scores_are_those_of_a_plain_forward_pass():
+    draw = random.Random(9)
+    tongues = {f"l{i:02}": ["".join(draw.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(4)] for i in range(20)}
+    for names in (sorted(tongues)[:3], sorted(tongues)):  # a table of languages, and one of dimensions
+        langs = [draw.choice(names) for _ in range(40)] + names * 2
+        texts = [spoken(draw, tongues[x], draw.randint(0, 12)) for x in langs]
+        model = langid.train(texts, langs)
+        assert (model.layer is None) == (len(names) <= langid.DIM)
+        got, known = model.scores(*langid._framed(texts))
+        for i, text in enumerate(texts):
+            data = bytes(c | 32 if 65 <= c <= 90 else c for c in f" {text} ".encode())
+            data = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in data)
+            buckets = []
+            for n in langid.GRAMS:
+                for k in range(len(data) - n + 1):
+                    value = int.from_bytes(data[k : k + n], "big") * int(ngrams._FACTORS[n]) % 2**32
+                    value = (value ^ value >> 15) * int(ngrams._FACTORS[0]) % 2**32
+                    buckets.append(value >> 32 - langid.BITS)
+            mean = [math.fsum(float(row[b]) for b in buckets) / max(1, len(buckets)) for row in model.table]
+            logits = mean if model.layer is None else [math.fsum(m * w for m, w in zip(mean, column)) for column in model.layer.T]
+            raised = [math.exp((x + y) / model.temperature) for x, y in zip(logits, model.bias)]
+            assert got[i] == pytest.approx([x / sum(raised) for x in raised], rel=2e-4)
+            assert known[i] == pytest.approx(sum(model.known[b] for b in buckets) / max(1, len(buckets)), rel=1e-4)
+
+
 # --- quality
 
 
+def labelled(n=200):
+    draw = random.Random(10)
+    texts = [spoken(draw, ["the", "an", "er", "ing", "ou"], draw.randint(1, 80)) for _ in range(n)]
+    texts = [t.upper() if i % 3 == 0 else t for i, t in enumerate(texts)]
+    texts[5], texts[8] = texts[2], texts[2]  # equal vectors with different labels
+    return texts, [int(i % 3 > 0) for i in range(n)]
+
+
+def test_quality_scores_are_those_of_a_plain_vote():
+    texts, labels = labelled()
+    model = quality.train(texts, labels, 0.6)
+    raw = [t.encode() for t in [*texts, "", "one", texts[2]]]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    vectors = [[int(x) for x in v] for v in model.vectors]
+    for i, text in enumerate(raw):
+        mine = [int(x) for x in model.project(*quality.terms(np.frombuffer(text, np.uint8), np.array([0, len(text)])))[0]]
+        near = sorted((-sum(x * y for x, y in zip(mine, v)), k) for k, v in enumerate(vectors))[: quality.NEIGHBOURS]
+        votes = [(max(0, -d) / quality._STEPS**2) ** quality.SHARPNESS for d, _ in near]
+        want = sum(w * labels[k] for w, (_, k) in zip(votes, near)) / sum(votes) if sum(votes) > 1e-9 else 0.6
+        assert got[i] == pytest.approx(want, rel=1e-12), i
+    assert got[-1] == got[2]
+
+
+def test_quality_score_does_not_depend_on_neighbours():
+    texts, labels = labelled()
+    model = quality.train(texts, labels, 0.6)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    together = model.scores(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    alone = [model.scores(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in raw]
+    assert (together == np.array(alone)).all()
+
+
+def test_of_equally_near_the_first_votes():
+    similar = np.array([[1.0, 3, 2, 2, 2, 0], [5, 5, 5, 5, 5, 5], [0, 1, 2, 3, 4, 5]])
+    assert quality.nearest(similar, 3).tolist() == [[1, 2, 3], [0, 1, 2], [3, 4, 5]]
+    draw = random.Random(4)
+    rows = np.array([[float(draw.randrange(6)) for _ in range(40)] for _ in range(60)])
+    for k in (1, 7, 40):
+        assert quality.nearest(rows, k).tolist() == [sorted(sorted(range(40), key=lambda i: (-r[i], i))[:k]) for r in rows]
+
+
 def test_quality_held_out_accuracy(spark):
     draw = random.Random(3)
     rows, labels = [], []
@@ -150,6 +221,74 @@ def test_mix_comes_near_its_targets_and_documents_match_the_plan(spark, monkeypa
     assert taken == {i: r["taken"] for i, r in plan.items() if r["taken"]}
 
 
+def spark_hash(seed, *values):
+    """The engine's 64-bit hash of longs, strings and a leading int, as a signed number."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_mix(rows, shard_rows, share=1.5, words=False):
+    """What the mix takes of each row (id, text, source), one word after the other; ``words``: of each
+    of its words."""
+    sizes = [len(WORDS.findall(t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    totals = [sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in names]
+    targets = mixing.capped_targets(totals, [(5, 2, 1)[i % 3] for i in range(len(names))], share)
+    block = max(1, min([16, *(int(t // 50) for t in targets if t > 0)]))
+    blocks = [-(-n // block) for n in totals]
+    quotas = highest_quotients(targets, min(round(sum(targets) / block), 2 * sum(b for b, t in zip(blocks, targets) if t > 0)), [2 * b if t > 0 else 0 for b, t in zip(blocks, targets)])
+    taken = [[0] * n for n in sizes]
+    for no, name in enumerate(names):
+        mine = [k for k, r in enumerate(rows) if r[2] == name]
+        shards = -(-len(mine) // shard_rows)
+        streams = {}
+        for k in mine:
+            doc, text, _ = rows[k]
+            digest = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+            digest = digest - 2**64 if digest >= 2**63 else digest
+            streams.setdefault(spark_hash(mixing.SEED, doc, sizes[k], digest) % shards, []).append((spark_hash(mixing.SEED + 1, doc, sizes[k], digest), k))
+        order = sorted(streams)
+        tokens = [[(k, x) for _, k in sorted(streams[s]) for x in range(sizes[k])] for s in order]
+        counts = [-(-len(w) // block) for w in tokens]
+        for shard, stream, n, quota in zip(order, tokens, counts, highest_quotients(counts, min(quotas[no], 2 * sum(counts)), [2 * n for n in counts])):
+            start = min(int(np.random.default_rng([mixing.SEED, shard, no]).random() * n), max(n - 1, 0)) * block
+            for step in range(min(quota * block, 2 * len(stream))):
+                k, x = stream[(start + step) % len(stream)]
+                taken[k][x] += 1
+    return taken if words else list(map(sum, taken)), dict(zip(names, targets))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_taken_words_are_those_of_a_plain_mix(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 25)
+    draw = random.Random(seed)
+    rows = [(i, " ".join(f"w{k}" for k in range(draw.choice([0, 1, 7, 60, 200]))), draw.choice(["a", "a", "a", "b", "c", None])) for i in range(150)]
+    rows += [(1000, None, "a"), (1001, "x y z", "tiny"), (1002, "  ", "blank")]
+    want, targets = plain_mix(rows, 25)
+    got = {r["doc_id"]: r for r in mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.contract_weight).collect()}
+    assert [got[r[0]]["taken"] for r in rows] == want
+    assert {s: got[next(r[0] for r in rows if r[2] == s)]["target"] for s in targets} == pytest.approx(targets)
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(1, "a b c", "s0"), (2, "a b c d e", "s1")] + [(10 + i, " ".join("x" * 100), "s2") for i in range(100)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.contract_weight).collect()
+    by = Counter()
+    for r in got:
+        by[r["source"]] += r["taken"]
+    for source, target in {(r["source"], r["target"]) for r in got}:
+        assert abs(by[source] - target) <= max(1, 0.02 * target)
+    assert by["s0"] == 6 and by["s1"] == 10
+    many = spark.range(5).selectExpr("id AS doc_id", "'a' AS text", "cast(id AS string) AS source")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "MOST_SOURCES", 4)
+        with pytest.raises(ValueError):
+            mixing.mix_plan(many, mixing.contract_weight)
+
+
 def test_mix_over_odd_rows(spark, edge, edge_rows, empty):
     plan = mixing.mix_plan(edge, mixing.contract_weight).collect()
     assert len(plan) == len(edge_rows)

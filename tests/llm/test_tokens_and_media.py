@@ -64,6 +64,9 @@ def test_media_round_trip_over_odd_rows(spark, edge, edge_rows, empty):
         r = got[row[0], hashlib.sha256(padded).hexdigest()]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(padded), zlib.crc32(padded[-16:]))
         assert f"frames={len(padded) // 192};" in r["feature"] and "skipped=0" in r["feature"]
+        n = len(padded) // 192
+        assert (r["duration"], r["samples"]) == (n * 1152 / 48000, n * 1152)
+        assert r["seek"] == [r["media_bytes"] - 240 * (n - k) for k in range(n)]
     assert mpeg_audio.read_back(mpeg_audio.stored(empty)).count() == 0
     rows = mpeg_audio.probe(spark.createDataFrame([(None, 1), (b"", 2), (b"no audio", 3)], "media binary, frames int")).collect()
     assert all(r["frames"] == 0 and r["duration"] == 0 for r in rows)
@@ -118,3 +121,83 @@ def test_payload_that_looks_like_a_closing_tag():
         assert mpeg_audio.payload(tagged, stream) == raw and ("id3v1", 128) in stream.tags
         short = mpeg_audio.parse(data[:-50] + b"TAG" + bytes(125))  # the last frame is cut off by a real tag
         assert len(short.offsets) == len(raw) // 192 - 1 and ("id3v1", 128) in short.tags
+
+
+def written(fields):
+    """Bits of (width, value) fields, most significant first."""
+    return "".join(format(value, f"0{width}b") for width, value in fields)
+
+
+def checksum(bits):
+    """CRC-16 one bit after the other, by polynomial division."""
+    crc = 0xFFFF
+    for bit in bits:
+        top = crc >> 15 & 1
+        crc = crc << 1 & 0xFFFF
+        if top ^ int(bit):
+            crc ^= 0x8005
+    return crc
+
+
+def frame(layer, rate_no, kbps_no, mode, mode_extension, body, covered, length, version=3, wrong=0):
+    """A protected frame: header, checksum over the header's last bits and ``covered``, then ``body``."""
+    head = written([(11, 0x7FF), (2, version), (2, 4 - layer), (1, 0), (4, kbps_no), (2, rate_no), (1, 0), (1, 0), (2, mode), (2, mode_extension), (1, 0), (1, 0), (2, 0)])
+    bits = head + written([(16, checksum(head[16:] + covered) ^ wrong)]) + body
+    return int(bits.ljust(8 * length, "1"), 2).to_bytes(length, "big")
+
+
+def test_checksums_of_layers_1_and_2_in_streams_made_by_hand():
+    draw = random.Random(3)
+
+    def layer_2(widths, channels, bound, rate_no, kbps_no, mode, extension, length, wrong=0, version=3):
+        allocation, selected = [], 0
+        for band, width in enumerate(widths):
+            for _ in range(channels if band < bound else 1):
+                value = draw.choice([0, 0, draw.randrange(1 << width)])
+                allocation.append((width, value))
+                selected += (value > 0) * (channels if band >= bound else 1)
+        covered = written([*allocation, *[(2, draw.randrange(4)) for _ in range(selected)]])
+        return frame(2, rate_no, kbps_no, mode, extension, covered, covered, length, version, wrong)
+
+    long, short = [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 6
+    cases = [
+        (lambda wrong: layer_2(long, 2, 30, 0, 10, 0, 0, 144 * 192000 // 44100, wrong), 1152, 44100),  # 192 kbit/s, stereo
+        (lambda wrong: layer_2(long, 2, 8, 0, 11, 1, 1, 144 * 224000 // 44100, wrong), 1152, 44100),  # 224, joint
+        (lambda wrong: layer_2(long[:27], 1, 27, 1, 4, 3, 0, 144 * 64000 // 48000, wrong), 1152, 48000),  # 64, one channel
+        (lambda wrong: layer_2(short, 1, 8, 1, 1, 3, 0, 144 * 32000 // 48000, wrong), 1152, 48000),  # 32, one channel
+        (lambda wrong: layer_2([4] * 2 + [3] * 10, 1, 12, 2, 2, 3, 0, 144 * 48000 // 32000, wrong), 1152, 32000),  # 48 at 32 kHz
+        (lambda wrong: layer_2([4] * 4 + [3] * 7 + [2] * 19, 2, 30, 1, 8, 0, 0, 144 * 64000 // 24000, wrong, 2), 1152, 24000),  # half rate
+    ]
+
+    def layer_1(wrong, channels, bound, kbps_no, mode, extension, length):
+        covered = written([(4, draw.randrange(15)) for band in range(32) for _ in range(channels if band < bound else 1)])
+        return frame(1, 2, kbps_no, mode, extension, covered + "01" * 40, covered, length, 3, wrong)
+
+    cases += [
+        (lambda wrong: layer_1(wrong, 2, 8, 4, 1, 1, 12 * 128000 // 32000 * 4), 384, 32000),
+        (lambda wrong: layer_1(wrong, 1, 32, 2, 3, 0, 12 * 64000 // 32000 * 4), 384, 32000),
+    ]
+    for make, samples, rate in cases:
+        frames = [make(0x10 if k == 4 else 0) for k in range(9)]
+        data = b"ID3\x04\0\0\0\0\0\x05hello" + b"".join(frames[:6]) + b"\0lost\0" + b"".join(frames[6:]) + b"TAG" + bytes(125)
+        stream = mpeg_audio.parse(data)
+        starts = [15 + sum(map(len, frames[:k])) + (6 if k >= 6 else 0) for k in range(9)]
+        assert list(stream.offsets) == starts and list(stream.lengths) == [len(f) for f in frames]
+        assert (stream.crc_ok, stream.crc_bad, stream.skipped) == (8, 1, 6)
+        assert (stream.samples, stream.duration) == (9 * samples, 9 * samples / rate)
+        assert [name for name, _ in stream.tags] == ["id3v1", "id3v2"]
+
+
+def test_tables_in_streams_made_by_hand():
+    plain = bytes.fromhex("fffb9064") + bytes(413)
+    xing = bytearray(plain)
+    xing[36:120] = (b"Xing" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + (417 * 6).to_bytes(4, "big") + bytes(range(100)))[:84]
+    vbri = bytearray(plain)
+    vbri[36:54] = b"VBRI" + bytes(6) + (417 * 6).to_bytes(4, "big") + (5).to_bytes(4, "big")
+    for first, kind in ((bytes(xing), "Xing"), (bytes(vbri), "VBRI")):
+        ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)
+        stream = mpeg_audio.parse(first + plain * 5 + ape)
+        assert (stream.table["kind"], stream.table["frames"], stream.table["bytes"]) == (kind, 5, 417 * 6)
+        assert list(stream.offsets) == [417 * k for k in range(1, 6)] and stream.duration == 5 * 1152 / 44100 and stream.tags == (("ape", 32),)
+    free = bytes.fromhex("fffb0064") + bytes(413)
+    assert mpeg_audio.parse(free * 4).skipped == 4 * 417 and not len(mpeg_audio.parse(free * 4).offsets)
