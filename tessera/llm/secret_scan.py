@@ -3,7 +3,9 @@
 Every version of every path is addressed by the SHA-256 of its text. A ledger in a shared folder
 holds, for each blob, the rules (name and version) that were run on it and what they found. A scan
 runs only the pairs of blob and rule version that the ledger lacks, on one copy of each blob, adds
-them to the ledger in one atomic batch, and joins all findings back to all paths.
+them to the ledger as a batch of its own, and joins all findings back to all paths. A row of the
+ledger is whole for its blob, so a part of a batch that a dying driver leaves is as good as a batch;
+pairs scanned twice by scans at the same time give the same findings, which are told once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Window as W
 
 from tessera.sources.scratch import new_path
 
-from .common import materialize
+from .common import materialize, spread_join
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,6 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
-#: Copies of a finding that hot blobs' paths are spread over when findings are joined back.
-SALTS = 16
-
 LEDGER = "sha string, rules array<string>, found array<struct<rule: string, start: long, stop: long>>"
 
 
@@ -68,8 +67,10 @@ def _matches(rule: Rule, text: Column) -> Column:
 def read_ledger(spark, path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER).parquet(f"{path}/*")
-    except AnalysisException:  # nothing was written yet
-        return spark.createDataFrame([], LEDGER)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)  # nothing was written yet
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -106,11 +107,12 @@ def scan_history(versions: DataFrame, ledger: str, rules: Sequence[Rule] = BASE,
     known = read_ledger(spark, ledger)
     ran = known.groupBy("sha").agg(F.flatten(F.collect_set("rules")).alias("ran"))
     wanted = F.array(*[F.lit(r.name) for r in rules])
-    todo = seen.groupBy("sha").agg(F.min("path").alias("rep")).join(ran, "sha", "left")
+    blobs = materialize(seen.groupBy("sha").agg(F.min("path").alias("rep"), F.count("*").alias("n")), "secret-blobs")
+    todo = blobs.drop("n").join(ran, "sha", "left")
     todo = todo.withColumn("todo", F.array_except(wanted, F.coalesce("ran", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     todo = todo.select(F.col("sha").alias("blob"), "rep", "todo")
-    blobs = versions.join(todo.hint("shuffle_hash"), (F.col("sha") == F.col("blob")) & F.col("path").eqNullSafe(F.col("rep")))
-    scan_blobs(blobs.select("sha", "text", "todo"), rules).write.parquet(f"{ledger}/batch-{uuid.uuid4().hex}")
+    texts = versions.join(todo.hint("shuffle_hash"), (F.col("sha") == F.col("blob")) & F.col("path").eqNullSafe(F.col("rep")))
+    scan_blobs(texts.select("sha", "text", "todo"), rules).write.parquet(f"{ledger}/batch-{uuid.uuid4().hex}")
 
     names = [r.name for r in rules]
     found = read_ledger(spark, ledger).select("sha", F.filter("found", lambda s: s["rule"].isin(names)).alias("found")).filter(F.size("found") > 0)
@@ -119,10 +121,7 @@ def scan_history(versions: DataFrame, ledger: str, rules: Sequence[Rule] = BASE,
     item = lambda s: F.struct(s["start"].alias("start"), number(s).alias("number"), kind(s).alias("kind"), s["stop"].alias("stop"))
     found = found.select("sha", F.explode("found").alias("s")).select("sha", item(F.col("s")).alias("s"))
     found = found.groupBy("sha").agg(F.array_sort(F.array_distinct(F.collect_list("s"))).alias("spans"))
-    # few blobs have findings; a hot one meets its paths in SALTS places instead of one
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    out = salted.join(found, ["sha", "salt"], "left")
+    out = spread_join(seen, found, ["sha"], F.xxhash64("path"), "left", counts=blobs.select("sha", "n"))  # one blob may have any part of the paths
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
 
     def count(kind: str) -> Column:
