@@ -26,7 +26,7 @@ from .common import WORD, materialize, word_count
 BLOCK, LEAST_BLOCKS = 16, 50
 #: Sources are a registry, not data: one row of each reaches the driver; more raise.
 MOST_SOURCES = 100_000
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 SEED = 17
 
 
