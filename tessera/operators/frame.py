@@ -66,8 +66,12 @@ class Frame:
             raise EngineError("nothing to aggregate")
         out = self.df.groupBy(*[k.resolve(schema).alias(k.name) for k in group]).agg(*direct, *base)
         late = {k.name: k.resolve(schema) for k in follow}
-        order = [(late | made).get(name, F.col(name)).alias(name) for name in names]
-        return Frame(out.select(*order) if late or made else out)
+        if not (late or made):
+            return Frame(out)
+        texts = {name: f"{made.get(name, rewrites.quoted(name))} AS {rewrites.quoted(name)}" for name in names}
+        if not late:
+            return Frame(out.selectExpr(*texts.values()))
+        return Frame(out.select(*[late[name].alias(name) if name in late else F.expr(texts[name]) for name in names]))
 
     def order_by(self, *keys: str | tuple[str, bool], limit: int | None = None, offset: int = 0) -> Frame:
         """Sort by ``column`` or ``(column, descending)``. With a limit Spark keeps the best rows per

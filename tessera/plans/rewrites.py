@@ -21,22 +21,26 @@ def split_keys(keys: Sequence[Expression]) -> tuple[list[Expression], list[Expre
     return (group, follow) if group else (list(keys), [])
 
 
-def shared_sums(aggregates: Sequence[Aggregate], schema: T.StructType) -> tuple[list[Column], dict[str, Column]]:
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def shared_sums(aggregates: Sequence[Aggregate], schema: T.StructType) -> tuple[list[Column], dict[str, str]]:
     """Sums of one small integer column plus different constants need one sum and one count:
     ``sum(x + k) = sum(x) + k * count(x)``. Gives the shared aggregates and, by output name, the
-    expressions over them. Only for sums whose addends cannot leave bigint; the sum of a column whose
+    expressions over them, as text: building columns one by one takes longer than the query. Only for sums whose addends cannot leave bigint; the sum of a column whose
     addition would overflow its own type is thereby exact instead of an error."""
     apart: dict[str, list[Sum]] = {}
     for a in aggregates:
         if isinstance(a, Sum) and isinstance(a.of, AddConst) and isinstance(a.of.constant, int) and small_integer(schema, a.column):
             apart.setdefault(a.column, []).append(a)
     base: list[Column] = []
-    made: dict[str, Column] = {}
+    made: dict[str, str] = {}
     for column, sums in apart.items():
         if len(sums) < 2:
             continue
         total, count = f"_sum_of_{column}", f"_count_of_{column}"
         base += [F.sum(column).alias(total), F.count(column).alias(count)]
         for s in sums:
-            made[s.name] = F.col(total) + F.col(count) * F.lit(s.of.constant).cast("bigint")
+            made[s.name] = f"{quoted(total)} + {quoted(count)} * CAST({s.of.constant} AS BIGINT)"
     return base, made
