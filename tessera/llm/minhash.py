@@ -329,8 +329,9 @@ def class_links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     rows = materialize(spread_join(labelled, open_, ["key"], F.col("cid")).join(facts, "cid"), "nd-rows")
     more = materialize(_block_pairs(rows, plan), "nd-block-pairs")
     more = materialize(confirmed(more, sets, plan), "nd-more")
-    discard(leads, members, pairs, reps, sets, linked, labelled, open_, rows)
-    return materialize(links.unionAll(more), "nd-all-links")
+    out = materialize(links.unionAll(more), "nd-all-links")
+    discard(leads, members, pairs, reps, sets, linked, labelled, open_, rows, links, more)
+    return out
 
 
 def _fetch(pairs: DataFrame, facts: DataFrame) -> DataFrame:

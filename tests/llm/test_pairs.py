@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -88,6 +89,19 @@ def test_near_duplicates_over_odd_rows(spark, edge, edge_rows, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_texts_meet_their_class_once(spark, monkeypatch):
+    """Ids that are null or repeat over many texts do not multiply the texts that are read again."""
+    seen, plain = [], minhash.full_sets
+    monkeypatch.setattr(minhash, "full_sets", lambda docs, words: seen.append(docs.count()) or plain(docs, words))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts = [f"{common} u{k} v{k}" for k in range(40)]
+    rows = [(None if k % 2 else 5, t) for k, t in enumerate(texts)]
+    sets = [shingles(t, 3) for t in texts]
+    links = [(i, j) for i in range(40) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert seen == [40] and len(links) == 780 and all(r["component_id"] == 5 for r in got) and len(got) == 40
+
+
 def test_sketches_tell_near_from_far():
     plan = minhash.Plan(3, 85)
     assert (1 - 0.85**plan.rows) ** minhash.BANDS < minhash.MISS
@@ -138,6 +152,13 @@ def test_vectors_lose_no_link(spark, monkeypatch):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_columns_of_vectors_that_clash_are_not_read(spark):
+    names = ["key", "links", "own", "n", "h0", "h1", "ok", "component_id", "kept", "_part"]
+    rows = [(i, [1.0, float(i % 2)], *["x"] * len(names)) for i in range(6)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, ["vec_id", "embedding", *names])).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(i, 2, i % 2, i < 2) for i in range(6)}
+
+
 def test_tables_follow_the_number_of_vectors():
     for n in (1, 100, 10_000, 10**6, 10**9):
         bits, tables = embedding_dedup.tables_for(n, 0.95)
@@ -187,6 +208,33 @@ def test_line_dedup_deletes_every_long_common_block_and_nothing_else(spark):
         assert got[i]["n_removed"] == len(gone) and all(d < i for d in got[i]["donors"]) and bool(got[i]["donors"]) == bool(gone)
 
 
+def test_line_dedup_of_passages_that_repeat_inside_documents(spark):
+    lines = [" ".join(f"q{i}-{k}" for k in range(8)) for i in range(10)]
+    x, y = " ".join(f"x{k}" for k in range(9)), " ".join(f"y{k}" for k in range(7))
+    texts = [["a0", *lines, "a1"], ["b0", *lines, "b1", *lines, "b2"], ["c0", *lines, "c1"], ["d0", *lines, "d1", *lines, "d2"], ["e0", *[x, y] * 6, "e1"], ["f0", *[x, y] * 4, "f1", *[y, x] * 4, "f2"]]
+    draw = random.Random(2)
+    short = [" ".join(f"s{i}w{k}" for k in range(draw.choice([2, 6, 11]))) for i in range(4)]
+    texts += [[f"g{d} own", *[draw.choice([*short, *short, f"own {d} {k}"]) for k in range(draw.randint(5, 40))]] for d in range(25)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0]["n_removed"] == 0
+    assert [got[i]["row"]["text"].split("\n") for i in (1, 2, 3)] == [["b0", "b1", "b2"], ["c0", "c1"], ["d0", "d1", "d2"]]
+    assert got[4]["n_removed"] == 0 and got[5]["row"]["text"].split("\n") == ["f0", "f1", "f2"]
+    for i, gone in enumerate(shared_words(["\n".join(t) for t in texts])):
+        left = WORDS.findall(got[i]["row"]["text"])
+        want = [w for k, w in enumerate(WORDS.findall("\n".join(texts[i]))) if k not in gone]
+        assert len(want) <= len(left) and len(left) - len(want) <= 3 * 40, i
+        assert not (set(range(len(want) + len(gone))) <= gone) or not left
+
+
+def test_blocks_in_reverse_order_take_time_that_follows_the_lines():
+    blocks = [list(range(8 * k, 8 * k + 8)) for k in range(800)]
+    a, b = [x for block in blocks for x in block], [x for block in reversed(blocks) for x in block]
+    began = time.perf_counter()
+    found = line_dedup.common_blocks(a, b, [6] * len(b), 40)
+    assert time.perf_counter() - began < 2 and covered(found) == set(range(len(b)))
+
+
 def test_line_dedup_over_odd_rows(spark, edge, edge_rows, empty):
     rows = line_dedup.dedup_lines(edge).collect()
     assert len(rows) == len(edge_rows)
