@@ -241,7 +241,7 @@ def _cut(least_words: int) -> Column:
         rows = [("", 0, "", "") if t is None else cut_text(t, empty(a), empty(b), least_words) for t, a, b in zip(text, ranges, runs)]
         return pd.DataFrame(rows, columns=["text", "n_removed", "removed", "cut"])
 
-    return cut
+    return cut.asNondeterministic()  # a filter on what is left must not cut once more
 
 
 def _digest(text: Column) -> Column:

@@ -142,7 +142,7 @@ def described(least: int, line_runs):
         for batch in batches:
             data, offsets = utf8_view(batch.columns[-1])
             parts: list[list] = [[], [], [], []]
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 18):
                 part, rows = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, starts, at = word_hashes(part, rows)
                 marks, count, lines = line_marks(part, rows, starts, hashes)
