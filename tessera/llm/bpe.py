@@ -6,6 +6,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -15,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidied
 
 #: Pre-tokens in each of the two generations that a worker remembers; speed only, never the result.
 MEMO = 300_000
-#: Characters of a pre-token that is remembered, so that the memo's bytes are bounded too.
-MEMO_LETTERS = 128
+#: Characters of a pre-token that is remembered, and bytes of a generation (the table's own part of an
+#: entry is MEMO_ENTRY); speed only too.
+MEMO_LETTERS, MEMO_BYTES, MEMO_ENTRY = 128, 24 << 20, 48
 _MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -158,14 +160,16 @@ class Tokenizer:
             """The younger generation; the older one is asked before anything is worked out anew."""
 
             older: dict = {}
+            held = 0
 
             def __missing__(self, token):
-                if len(self) >= MEMO:
-                    self.older = dict(self)
+                if len(self) >= MEMO or self.held >= MEMO_BYTES:
+                    self.older, self.held = dict(self), 0
                     self.clear()
                 found = self.older.get(token) or outer._piece(token.encode())
                 if len(token) <= MEMO_LETTERS:
                     self[token] = found
+                    self.held += sys.getsizeof(token) + sys.getsizeof(found) + MEMO_ENTRY
                 return found
 
         self.memo = Memo()
@@ -213,7 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             ids = pa.array([tokenizer.encode(t) for t in batch.column(kept.index(text)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*kept, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -228,7 +232,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
             raw = [None if x is None else tokenizer.decode(x) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*kept, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -261,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import weakref
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -161,4 +162,25 @@ def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes << 20}b")
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with ``release`` before and after each task: workers are kept
+    between stages, and what one stage freed would count beside what the next one needs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 LONG, DOUBLE, STRING, INT, BOOL, BINARY = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType(), T.BooleanType(), T.BinaryType()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, utf8_view
+from .common import bounded_batches, slices, tidied, utf8_view
 from .ngrams import drop_tails, gram_counts, gram_hashes, letters_only, row_sums
 
 BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*kept, *new])
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import passages
-from .common import WORD, bounded_batches, discard, materialize, mix64, sieve, sieved, spread_join
+from .common import WORD, bounded_batches, discard, materialize, mix64, sieve, sieved, spread_join, tidied
 
 #: Words of the shortest shared passage that goes; shorter ones are left alone everywhere.
 LEAST_WORDS = 40
@@ -265,7 +265,7 @@ def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFr
     earlier = pairs.select(F.col("lead").alias("rid"), "lead", "part").distinct().withColumn("kind", F.lit(0))
     both = earlier.unionByName(later).join(lines, "rid").select("lead", "part", "kind", "rid", "marks", "sizes")
     both = both.repartition("lead", "part").sortWithinPartitions("lead", "part", "kind")
-    found = materialize(both.mapInArrow(_aligned(least_words), "rid long, lead long, ranges array<int>"), "ld-blocks")
+    found = materialize(both.mapInArrow(tidied(_aligned(least_words)), "rid long, lead long, ranges array<int>"), "ld-blocks")
     discard(leads, pairs, many)
     return found
 
@@ -273,7 +273,7 @@ def line_blocks(shared: DataFrame, lines: DataFrame, least_words: int) -> DataFr
 def word_runs(said: DataFrame, least_words: int) -> DataFrame:
     """``rid, runs, leads``: starts of the runs of words that go from each document, and the documents
     that hold them first, of ``rid, hashes, sizes, keys, ranges``."""
-    runs = materialize(said.mapInArrow(passages.windows(least_words), "key long, rid long, at int"), "ld-windows")
+    runs = materialize(said.mapInArrow(tidied(passages.windows(least_words)), "key long, rid long, at int"), "ld-windows")
     leads = runs.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count("*").alias("n")).filter("lead < last").drop("last")
     leads = materialize(leads, "ld-holders")
     found = spread_join(runs, leads, ["key"], F.xxhash64("rid", "at")).filter("rid <> lead")
@@ -290,7 +290,7 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     docs = docs.select("id", _digest(F.col("text")).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("octets"), "text")
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     fields = [*docs.schema.fields[:-1], T.StructField("words", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("hashes", "sizes", "marks")], T.StructField("keys", longs)]
-    said = docs.mapInArrow(passages.described(least_words, _runs), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id())
+    said = docs.mapInArrow(tidied(passages.described(least_words, _runs)), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id())
     said = materialize(said, "ld-said")
 
     # ids in document order, so the earliest of many is a plain minimum

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, discard, materialize, mix64, sieve, sieved, slices, spread_join, utf8_view
+from .common import bounded_batches, discard, materialize, mix64, sieve, sieved, slices, spread_join, tidied, utf8_view
 from .components import components
 
 MISS, BANDS, SLACK = 1e-8, 36, 6.0
@@ -188,7 +188,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
             )
 
     longs = T.ArrayType(T.LongType())
-    return docs.mapInArrow(run, T.StructType([
+    return docs.mapInArrow(tidied(run), T.StructType([
         docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "n_shingles", "d0", "d1")],
         T.StructField("keys", longs), T.StructField("odd", longs),
     ]))
@@ -212,7 +212,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
             cids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([cids, pa.array(out, pa.list_(pa.int64()))], ["cid", "shingles"])
 
-    return docs.select("cid", "d0", "d1", "text").mapInArrow(run, "cid long, shingles array<long>")
+    return docs.select("cid", "d0", "d1", "text").mapInArrow(tidied(run), "cid long, shingles array<long>")
 
 
 def may_link(plan: Plan, n1: Column, n2: Column, odd1: Column, odd2: Column) -> Column:

@@ -3,7 +3,10 @@
 import base64
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -201,3 +204,35 @@ def test_tables_in_streams_made_by_hand():
         assert list(stream.offsets) == [417 * k for k in range(1, 6)] and stream.duration == 5 * 1152 / 44100 and stream.tags == (("ape", 32),)
     free = bytes.fromhex("fffb0064") + bytes(413)
     assert mpeg_audio.parse(free * 4).skipped == 4 * 417 and not len(mpeg_audio.parse(free * 4).offsets)
+
+
+def test_memo_is_bounded_by_bytes(tokenizer, library, monkeypatch):
+    """Long pre-tokens of many ids fill a generation before their number does."""
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1 << 20, raising=False)
+    own = bpe.Tokenizer(tokenizer.ranks, PATTERN, tokenizer.table)
+    draw, held = random.Random(9), lambda memo: sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in memo.items())
+    for _ in range(30):
+        text = " ".join("".join(draw.choice("qxzjkvw中é") for _ in range(60)) for _ in range(200))
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert held(own.memo) + held(own.memo.older) < (2 << 20) + 10_000
+    assert len(own.memo) and len(own.memo.older)
+
+
+def test_a_task_gives_back_what_it_freed():
+    """Many small buffers, freed below one that stays, would remain with the worker."""
+    code = """
+import numpy as np
+from tessera.llm.common import tidied
+size = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) >> 10
+stay = []
+def run(batches):
+    for batch in batches:
+        many = [np.ones(60_000, np.uint8) for _ in range(4000)]
+        stay.append(np.ones(60_000, np.uint8))
+        yield len(many)
+        del many
+before = size()
+assert list(tidied(run)(iter([0, 1]))) == [4000, 4000]
+assert size() < before + 60, (before, size())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(__file__).parents[2])
