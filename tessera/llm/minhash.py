@@ -10,6 +10,9 @@
 4. Buckets that still hold several components are searched in full: by pairs of blocks, classes of
    different components that sizes and sketches let pass are confirmed on full sets. So no pair that
    shares a bucket is left undecided, and no pair inside a settled component is ever formed.
+5. Before full sets move, pairs meet by the parities of their sets: a bitmap in which every shingle
+   flips one bit. The popcount of two bitmaps' XOR is never above the number of shingles that only
+   one set has, so a pair that it turns away is surely too far; no link is lost.
 
 The number of bands follows from the threshold so that a pair at it misses all buckets with a
 probability below MISS. Sketches only turn away pairs far below the threshold (SLACK deviations).
@@ -33,6 +36,8 @@ from .components import components
 MISS, BANDS, SLACK = 1e-8, 36, 6.0
 #: Bits of an odd sketch, in longs of 64.
 SKETCH_LONGS = 8
+#: Bits of a set's parities, in longs of 64; more turn away larger sets, none turns away a link.
+PARITY_LONGS = 16
 #: Classes of a bucket in one block; a larger bucket is searched by pairs of blocks.
 BLOCK = 256
 
@@ -155,6 +160,13 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITY_LONGS of a set: every shingle flips bit hash(shingle)."""
+    bits = 64 * PARITY_LONGS
+    flips = np.bincount((mix64(s + np.uint64(_BASE)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _set_digest(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s * np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64))
@@ -195,36 +207,53 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``cid, shingles`` (the text's set, sorted longs) of the rows of ``docs`` (``cid, d0, d1,
-    text``) whose set has the digest ``d0, d1``."""
+    """``cid, n_shingles, odd, shingles`` (the text's set, sorted longs, its size and parities) of the
+    rows of ``docs`` (``cid, d0, d1, text``) whose set has the digest ``d0, d1``."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8_view(batch.column(3))
             want = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            rows, out = [], []
+            rows, odd, out = [], [], []
             for start, stop in slices(offsets):
                 for i, s in enumerate(shingle_sets(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], words)):
                     if _set_digest(s) == want[start + i]:
                         rows.append(start + i)
+                        odd.append(parities(s))
                         out.append(s.view(np.int64))
             cids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([cids, pa.array(out, pa.list_(pa.int64()))], ["cid", "shingles"])
+            sizes = pa.array([len(s) for s in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [cids, sizes, pa.array(odd, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.int64()))], ["cid", "n_shingles", "odd", "shingles"]
+            )
 
-    return docs.select("cid", "d0", "d1", "text").mapInArrow(tidied(run), "cid long, shingles array<long>")
+    return docs.select("cid", "d0", "d1", "text").mapInArrow(tidied(run), "cid long, n_shingles long, odd array<long>, shingles array<long>")
+
+
+def _flipped(odd1: Column, odd2: Column, longs: int) -> Column:
+    return sum((F.bit_count(odd1[i].bitwiseXOR(odd2[i])) for i in range(1, longs)), F.bit_count(odd1[0].bitwiseXOR(odd2[0])))
 
 
 def may_link(plan: Plan, n1: Column, n2: Column, odd1: Column, odd2: Column) -> Column:
     """Whether sizes and odd sketches leave a pair a chance."""
     low, high = F.least(n1, n2), F.greatest(n1, n2)
-    flipped = sum((F.bit_count(odd1[i].bitwiseXOR(odd2[i])) for i in range(1, SKETCH_LONGS)), F.bit_count(odd1[0].bitwiseXOR(odd2[0])))
+    flipped = _flipped(odd1, odd2, SKETCH_LONGS)
     return (low * 100 >= high * plan.part) & (flipped <= plan.most_flipped)
 
 
+def hopeful(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The ``(u, v)`` of ``pairs`` (a written table) that the parities of their ``sets`` do not rule
+    out. With D shingles in one set only and S in both lists together, similarity is (S - D) / (S + D)."""
+    met = _fetch(pairs.select("u", "v"), sets.select("cid", "n_shingles", "odd"))
+    differ = _flipped(F.col("odd_u"), F.col("odd_v"), PARITY_LONGS).cast("long")
+    return met.filter(differ * (100 + plan.part) <= (F.col("n_u") + F.col("n_v")) * (100 - plan.part)).select("u", "v")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The ``(u, v)`` of ``pairs`` (a written table) whose full sets are near enough. ``sets`` has
-    ``cid, shingles``. A class with many partners is repeated for parts of them."""
+    ``cid, n_shingles, odd, shingles``. A class with many partners is repeated for parts of them."""
+    pairs = materialize(hopeful(pairs, sets, plan), "nd-hopeful")
     u = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("s"))
     v = sets.select(F.col("cid").alias("v"), F.col("shingles").alias("t"))
     partners = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "nd-partners")

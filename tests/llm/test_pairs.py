@@ -114,6 +114,29 @@ def test_sketches_tell_near_from_far():
         assert (int(np.bitwise_count(odd[0] ^ odd[1]).sum()) <= plan.most_flipped) == allowed
 
 
+def test_full_sets_move_only_for_pairs_that_parities_allow(spark, monkeypatch):
+    """Pairs below the threshold that sketches let pass are told by parities; pairs at it all stay."""
+    plan, plain, met = minhash.Plan(3, 85), minhash.materialize, {}
+
+    def materialize(df, name):
+        out = plain(df, name)
+        met[name] = {(r["u"], r["v"]) for r in out.collect()} if name == "nd-hopeful" else None
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", materialize)
+    draw, sets, near = np.random.default_rng(3), [], set()
+    for n, share in [(n, share) for n in (1, 7, 40, 400, 3000) for share in (0.6, 0.7, 0.75, 0.85, 0.9, 1.0)]:
+        common = int(np.ceil(2 * n * share / (1 + share)))
+        every = draw.integers(0, 2**63, 2 * n - common).astype(np.uint64)
+        sets += [np.unique(every[:n]), np.unique(every[n - common :])]
+        if 100 * common >= 85 * (2 * n - common):
+            near.add((len(sets) - 2, len(sets) - 1))
+    table = spark.createDataFrame([(i, len(s), minhash.parities(s).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(sets)], "cid long, n_shingles long, odd array<long>, shingles array<long>")
+    pairs = plain(spark.createDataFrame([(i, i + 1) for i in range(0, len(sets), 2)], "u long, v long"), "pairs")
+    assert {(r["u"], r["v"]) for r in minhash.confirmed(pairs, table, plan).collect()} == near
+    assert near <= met["nd-hopeful"] and len(met["nd-hopeful"]) <= len(near) + 3 < len(sets) // 2
+
+
 def test_crowded_bucket_is_searched_in_blocks(spark, monkeypatch):
     """All texts share half of their words, so buckets hold many that are not near."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
