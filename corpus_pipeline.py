@@ -7,11 +7,14 @@ and rereads it, so that losing executors never costs more than a stage's missing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, langid, line_dedup, minhash, mixing
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shrink_heaps
 
 #: Language identification learns by gradient descent and MinHash, alignment and BPE are no SQL.
 ORACLE_SQL = None
@@ -43,12 +46,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
+def lean(stage: Callable) -> Callable:
+    """``stage`` without the heap that the one before it left to the executors."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", lines),
-    ("minhash_near_dedup", near_duplicates),
-    ("source_mix", mix),
-    ("byte_bpe", tokens),
+    ("language_id", lean(language_id)),
+    ("line_dedup", lean(lines)),
+    ("minhash_near_dedup", lean(near_duplicates)),
+    ("source_mix", lean(mix)),
+    ("byte_bpe", lean(tokens)),
 ]
 
 

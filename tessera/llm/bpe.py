@@ -142,6 +142,33 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list
     return out
 
 
+class Memo(dict):
+    """Ids of pre-tokens, the younger generation; the older one is asked before anything is worked out
+    anew. It does not refer to its tokenizer, so that both go as soon as a worker's stage is over and
+    not when Python next looks for cycles."""
+
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, ints: list[int], pairs: list[int]):
+        self.ranks, self.table, self.ints, self.pairs = ranks, table, ints, pairs
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= MEMO or self.held >= MEMO_BYTES:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        found = self.older.get(token) or self._piece(token.encode())
+        if len(token) <= MEMO_LETTERS:
+            self[token] = found
+            self.held += sys.getsizeof(token) + sys.getsizeof(found) + MEMO_ENTRY
+        return found
+
+    def _piece(self, piece: bytes) -> tuple[int, ...]:
+        found = self.table.get(piece)
+        if found >= 0:
+            return (self.ints[found],)
+        return tuple(self.ints[i] for i in merge_bytes(piece, self.ranks, self.pairs))
+
+
 class Tokenizer:
     """Encoder and decoder of one vocabulary. ``pattern`` splits a text before merging."""
 
@@ -154,31 +181,7 @@ class Tokenizer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in ranks.values()}
         self.pairs = byte_pairs(ranks)
-        outer = self
-
-        class Memo(dict):
-            """The younger generation; the older one is asked before anything is worked out anew."""
-
-            older: dict = {}
-            held = 0
-
-            def __missing__(self, token):
-                if len(self) >= MEMO or self.held >= MEMO_BYTES:
-                    self.older, self.held = dict(self), 0
-                    self.clear()
-                found = self.older.get(token) or outer._piece(token.encode())
-                if len(token) <= MEMO_LETTERS:
-                    self[token] = found
-                    self.held += sys.getsizeof(token) + sys.getsizeof(found) + MEMO_ENTRY
-                return found
-
-        self.memo = Memo()
-
-    def _piece(self, piece: bytes) -> tuple[int, ...]:
-        found = self.table.get(piece)
-        if found >= 0:
-            return (self.ints[found],)
-        return tuple(self.ints[i] for i in merge_bytes(piece, self.ranks, self.pairs))
+        self.memo = Memo(ranks, self.table, self.ints, self.pairs)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text as ordinary text, without special tokens; null and empty have none."""

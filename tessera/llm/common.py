@@ -183,4 +183,13 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have each executor's JVM collect its garbage, upon which it gives the heap that it no longer
+    needs back to the system. Otherwise a heap stays as large as the hungriest stage so far has made
+    it, and counts beside the Python workers of the next. One short task per core; an executor that
+    is busy with other work may miss it, which costs memory only."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 LONG, DOUBLE, STRING, INT, BOOL, BINARY = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType(), T.BooleanType(), T.BinaryType()

@@ -127,3 +127,18 @@ def test_blocks_of_just_under_the_least_words_stay(spark):
         rows = [(1, f"a b\n{passage}\nc"), (2, f"d\n{passage}\ne f")]
         got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == (n == line_dedup.LEAST_WORDS)
+
+
+def test_a_stage_begins_without_the_heap_of_the_one_before(spark):
+    """A heap once grown would count beside the Python workers of all later stages."""
+    import corpus_pipeline
+
+    committed = lambda: spark._jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+    docs = spark.createDataFrame([(1, "a text", "en", "s")], "doc_id long, text string, lang string, source string")
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert name == "byte_bpe"
+    spark.range(1 << 30, (1 << 30) + 1, 1, 1).selectExpr("octet_length(repeat('x', cast(id as int)))").collect()
+    grown = committed()
+    assert grown > 1000
+    stage(spark, docs, "")
+    assert committed() < grown - 500, (grown, committed())

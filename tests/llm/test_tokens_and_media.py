@@ -1,10 +1,12 @@
 """BPE against a public library, MPEG streams against damage, both against odd rows."""
 
 import base64
+import gc
 import hashlib
 import random
 import subprocess
 import sys
+import weakref
 import zlib
 from pathlib import Path
 
@@ -236,3 +238,17 @@ assert list(tidied(run)(iter([0, 1]))) == [4000, 4000]
 assert size() < before + 60, (before, size())
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(__file__).parents[2])
+
+
+def test_a_tokenizer_goes_without_a_search_for_cycles(tokenizer):
+    """Else a worker keeps the tables and the memo of a stage that is over."""
+    own = bpe.Tokenizer(tokenizer.ranks, PATTERN, tokenizer.table)
+    own.encode("some text, and unheardofwords")
+    there, on = weakref.ref(own.memo), gc.isenabled()
+    gc.disable()
+    try:
+        del own
+        assert there() is None
+    finally:
+        if on:
+            gc.enable()
