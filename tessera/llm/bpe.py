@@ -6,9 +6,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import sys
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -98,61 +100,78 @@ class PerfectHash:
         return self.ids[slot] if self.keys[slot] == key else -1
 
 
-def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
-    """Rank of every pair of bytes, -1 for none, by ``first << 8 | second``."""
-    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-
-
-def merge_bytes(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+class Pairs:
+    """What two neighbours merge into. Bytes that are no token are named by ids beyond the vocabulary;
+    -1, beyond either end of a piece, merges with nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.top = max(ranks.values(), default=-1) + 1
+        self.gaps = any(bytes((a,)) not in ranks for a in range(256))
+        name = {bytes((a,)): self.top + a for a in range(256)} | ranks
+        self.first = [name[bytes((a,))] for a in range(256)]
+        nothing: dict[int, int] = {}
+        #: for an id, the ids that may follow it and the token of both; the last one is that of -1
+        self.then = [nothing] * (self.top + 257)
+        for token, i in ranks.items():
+            for k in range(1, len(token)):
+                if (left := name.get(token[:k])) is not None and (right := name.get(token[k:])) is not None:
+                    if self.then[left] is nothing:
+                        self.then[left] = {}
+                    self.then[left][right] = i
+        self.bytes = [[self.then[a].get(b, -1) for b in self.first] for a in self.first]
+
+
+def merge_bytes(piece: bytes, pairs: Pairs) -> list[int]:
     """Ids of a piece that is no token itself: the pair of lowest rank merges first, the leftmost
     of equals; a heap holds the candidate pairs of a linked list, so a long piece costs n log n."""
-    n, get, pop, push = len(piece), ranks.get, heapq.heappop, heapq.heappush
+    n, then, pop, push = len(piece), pairs.then, heapq.heappop, heapq.heappush
     shift = n.bit_length()
     mask = (1 << shift) - 1
     end, before = list(range(1, n + 1)), list(range(-1, n))
+    first, two = pairs.first, pairs.bytes
+    # id that starts at a byte, -1 where none does and after the last one
+    ids = [first[a] for a in piece]
+    ids.append(-1)
     # rank of the pair that starts at a byte, -1 where none does; a heap entry that differs is stale
-    pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
-    pair.append(-1)
+    pair = [two[a][b] for a, b in zip(piece, piece[1:])]
+    pair += (-1, -1)
     heap = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
     heapq.heapify(heap)
     while heap:
         entry = pop(heap)
         left = entry & mask
-        if pair[left] != entry >> shift:
+        merged = pair[left]
+        if merged != entry >> shift:
             continue
         right = end[left]
         stop = end[left] = end[right]
-        pair[right] = -1
-        if stop < n:
-            before[stop] = left
-            rank = pair[left] = get(piece[left : end[stop]], -1)
-            if rank >= 0:
-                push(heap, rank << shift | left)
-        else:
-            pair[left] = -1
+        ids[left] = merged
+        ids[right] = pair[right] = -1
+        rank = pair[left] = then[merged].get(ids[stop], -1)
+        if rank >= 0:
+            push(heap, rank << shift | left)
+        before[stop] = left
         back = before[left]
-        if back >= 0:
-            rank = pair[back] = get(piece[back:stop], -1)
-            if rank >= 0:
-                push(heap, rank << shift | back)
-    out, at = [], 0
-    while at < n:
-        out.append(ranks[piece[at : end[at]]])
-        at = end[at]
+        rank = pair[back] = then[ids[back]].get(merged, -1)
+        if rank >= 0:
+            push(heap, rank << shift | back)
+    out = [i for i in ids if i >= 0]
+    if pairs.gaps and max(out, default=-1) >= pairs.top:
+        raise KeyError("a byte is no token")
     return out
 
 
 class Memo(dict):
-    """Ids of pre-tokens, the younger generation; the older one is asked before anything is worked out
-    anew. It does not refer to its tokenizer, so that both go as soon as a worker's stage is over and
-    not when Python next looks for cycles."""
+    """Ids of pre-tokens, packed, the younger generation; the older one is asked before anything is
+    worked out anew. It does not refer to its tokenizer, so that both go as soon as a worker's stage is
+    over and not when Python next looks for cycles."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, ints: list[int], pairs: list[int]):
-        self.ranks, self.table, self.ints, self.pairs = ranks, table, ints, pairs
-        self.older: dict[str, tuple[int, ...]] = {}
+    def __init__(self, table: PerfectHash, pairs: Pairs, kind: np.dtype):
+        self.table, self.pairs, self.code = table, pairs, kind.char
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> bytes:
         if len(self) >= MEMO or self.held >= MEMO_BYTES:
             self.older, self.held = dict(self), 0
             self.clear()
@@ -162,11 +181,32 @@ class Memo(dict):
             self.held += sys.getsizeof(token) + sys.getsizeof(found) + MEMO_ENTRY
         return found
 
-    def _piece(self, piece: bytes) -> tuple[int, ...]:
+    def _piece(self, piece: bytes) -> bytes:
         found = self.table.get(piece)
-        if found >= 0:
-            return (self.ints[found],)
-        return tuple(self.ints[i] for i in merge_bytes(piece, self.ranks, self.pairs))
+        return array(self.code, (found,) if found >= 0 else merge_bytes(piece, self.pairs)).tobytes()
+
+
+#: What a pattern for ASCII texts may consist of, and how ``re`` writes the parts of it that differ.
+_PART = re.compile(r"\[\^?(?:\\s|\\p\{[LN]\}|[A-Za-z0-9' ])+\]|\\[sS]|\\p\{[LN]\}|[A-Za-z0-9' |?+*)]|\((?:\?[!=:]|(?!\?))")
+_ASCII = {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+
+
+def ascii_splitter(pattern: str) -> Callable[[str], list[str]] | None:
+    """``findall`` of a pattern by ``re``, which is faster, for texts of ASCII characters only; None if
+    the pattern has parts of which it is not known that they mean the same there."""
+    parts, at = [], 0
+    while at < len(pattern):
+        if not (found := _PART.match(pattern, at)):
+            return None
+        part, at = found[0], found.end()
+        if part == r"\S":
+            part = r"[^\s]"
+        elif part in _ASCII:
+            part = f"[{part}]"
+        for name, letters in _ASCII.items():
+            part = part.replace(name, letters)
+        parts.append(part)
+    return re.compile("".join(parts)).findall
 
 
 class Tokenizer:
@@ -177,15 +217,27 @@ class Tokenizer:
 
         self.ranks, self.table = ranks, table or PerfectHash(ranks)
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.ints = list(range(max(ranks.values(), default=0) + 1))
+        self.split_ascii = ascii_splitter(pattern) or self.split
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.text_of = {i: str(i) for i in ranks.values()}
-        self.pairs = byte_pairs(ranks)
-        self.memo = Memo(ranks, self.table, self.ints, self.pairs)
+        pairs = Pairs(ranks)
+        self.names = np.array([b"%d " % i for i in range(pairs.top)], "S")
+        self.kind = np.dtype(np.uint16 if pairs.top <= 1 << 16 else np.uint32)
+        self.memo = Memo(self.table, pairs, self.kind)
 
-    def encode(self, text: str | None) -> list[int]:
+    def array(self, text: str | None) -> np.ndarray:
         """Ids of a text as ordinary text, without special tokens; null and empty have none."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text)))) if text else []
+        if not text:
+            return np.empty(0, self.kind)
+        split = self.split_ascii if text.isascii() else self.split
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, split(text))), self.kind)
+
+    def encode(self, text: str | None) -> list[int]:
+        """``array`` as a list."""
+        return self.array(text).tolist()
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal digits, joined by one space."""
+        return self.names[ids].tobytes().translate(None, b"\0")[:-1]
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; an id outside the vocabulary is a KeyError."""
@@ -217,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shared, pattern)
         for batch in batches:
-            ids = pa.array([tokenizer.encode(t) for t in batch.column(kept.index(text)).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([tokenizer.array(t).astype(np.int32) for t in batch.column(kept.index(text)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*kept, out])
 
     return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -249,16 +301,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shared, pattern)
-        name = tokenizer.text_of.__getitem__
         for batch in batches:
             counts, coded, decoded, kept = [], [], [], []
             for text in batch.column(1):
-                ids = tokenizer.encode(text.as_py())
+                ids = tokenizer.array(text.as_py())
                 counts.append(len(ids))
                 if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-                coded.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(tokenizer.decode(ids)).hexdigest())
+                    kept.append(pa.array(ids.astype(np.int32)))
+                coded.append(hashlib.sha256(tokenizer.written(ids)).hexdigest())
+                decoded.append(hashlib.sha256(tokenizer.decode(ids.tolist())).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

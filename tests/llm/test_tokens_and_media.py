@@ -12,6 +12,7 @@ from pathlib import Path
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from tessera.llm import bpe, mpeg_audio
@@ -252,3 +253,69 @@ def test_a_tokenizer_goes_without_a_search_for_cycles(tokenizer):
     finally:
         if on:
             gc.enable()
+
+
+def test_remembered_pre_tokens_take_few_bytes(tokenizer, library):
+    """Each pre-token that has to be worked out again costs more than all that is done with the others."""
+    own = bpe.Tokenizer(tokenizer.ranks, PATTERN, tokenizer.table)
+    draw = random.Random(3)
+    text = " ".join("".join(draw.choice(["th", "er", "an", "in", "on", "sh"]) for _ in range(4)) for _ in range(2000))
+    ids = own.encode(text)
+    assert ids == library.encode_ordinary(text)
+    assert len(own.memo) > 500
+    assert all(sys.getsizeof(own.memo[t]) <= 33 + 2 * len(library.encode_ordinary(t)) for t in list(own.memo))
+
+
+def test_merges_by_a_plain_loop():
+    """Vocabularies whose merges skip ranks, lack bytes or hold tokens that no merge reaches."""
+
+    def plain(piece, ranks):
+        parts = [bytes((a,)) for a in piece]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts] if all(p in ranks for p in parts) else None
+
+    def own(piece, pairs):
+        try:
+            return bpe.merge_bytes(piece, pairs)
+        except KeyError:
+            return None
+
+    draw = random.Random(8)
+    for _ in range(300):
+        tokens = {bytes((a,)) for a in draw.sample(b"abc", draw.randint(1, 3))}
+        tokens |= {bytes(draw.choice(b"abc") for _ in range(draw.randint(2, 5))) for _ in range(draw.randint(0, 14))}
+        ranks = dict(zip(draw.sample(sorted(tokens), len(tokens)), sorted(draw.sample(range(40), len(tokens)))))
+        pairs = bpe.Pairs(ranks)
+        for n in range(15):
+            piece = bytes(draw.choice(b"abc") for _ in range(n))
+            assert own(piece, pairs) == plain(piece, ranks), (piece, ranks)
+
+
+def test_large_and_empty_vocabularies():
+    ranks = {bytes((a,)): a for a in range(256)} | {b"ab": 70_000, b" a": 300, b" ab": 99_999}
+    own = bpe.Tokenizer(ranks, PATTERN)
+    ids = own.array("ab ab b")
+    assert ids.tolist() == own.encode("ab ab b") == [70_000, 99_999, 32, 98] and own.written(ids) == b"70000 99999 32 98"
+    assert own.decode(ids.tolist()) == b"ab ab b"
+    with pytest.raises(KeyError):
+        own.decode([100_000])
+    none = bpe.Tokenizer({}, PATTERN)
+    assert none.encode("") == none.encode(None) == [] and none.written(none.array("")) == b""
+    with pytest.raises(KeyError):
+        none.encode("a")
+    assert bpe.Tokenizer(ranks, "x").encode("no match") == []
+
+
+def test_ascii_texts_are_split_alike(tokenizer):
+    draw = random.Random(4)
+    texts = ["".join(chr(draw.randrange(128)) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(draw.choice(" \t\n\x0b\x1c\x1f\r'sdltverAZ09_.-") for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    assert tokenizer.split_ascii is not tokenizer.split
+    assert all(tokenizer.split_ascii(t) == tokenizer.split(t) for t in texts)
+    for same in (r"[^\s\p{L}']+|\S", r"(?:ab|a)++ ?|\s+(?!\S)|\p{N}"):
+        there = regex.compile(same.replace(r"\s", r"\t-\r " if "[" in same else r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")).findall
+        assert all(bpe.ascii_splitter(same)(t) == there(t) for t in texts)
+    for other in (r"\w+", r"[a-z]+", r"\p{Lu}", r"(?i)a", r"[[a]]", r"a{2}", r"[\S]", r"(?<=a)b", r".", r"\P{L}"):
+        assert bpe.ascii_splitter(other) is None
