@@ -74,10 +74,11 @@ def _values(value: Column, sep: str) -> Column:
     return F.when(F.contains(value, F.lit('"')), some).otherwise(plain)
 
 
-def _typed(text: Column, field: T.StructField) -> Column:
-    """A value as its column's type, whatever the session's settings; what does not parse raises."""
+def _typed(text: Column, field: T.StructField, doubt: str = "") -> Column:
+    """A value as its column's type, whatever the session's settings; what does not parse raises, with
+    ``doubt`` at the message's end."""
     kind, declared = field.dataType, (field.metadata or {}).get("declared")
-    fail = lambda what, to: F.raise_error(F.concat(F.lit(f"{field.name}: {what}: "), text)).cast(to)
+    fail = lambda what, to: F.raise_error(F.concat(F.lit(f"{field.name}: {what}: "), text, F.lit(doubt))).cast(to)
     if isinstance(kind, T.StringType):
         return F.when(F.octet_length(text) == 1, text).otherwise(fail("not one byte", "string")) if declared == "CHAR" else text
     shape = {T.DateType: r"\A\d{4}-\d{2}-\d{2}\z", T.TimestampNTZType: r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"}.get(type(kind))
@@ -95,12 +96,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     raise when read. With ``header`` each file's first row is skipped.
 
     Files are split among tasks. With ``multi_line`` rows that span lines are joined, which costs
-    shuffles and the rows' order; without, a quote that is open at a line's end raises. None: one cheap pass looks
-    whether any line needs it.
+    shuffles and the rows' order; without, a quote that is open at a line's end raises. The lines after
+    it may be read by a task that fails first, so then other errors name that cause too. None: one cheap
+    pass looks whether any line needs it.
     """
     if len(sep) != 1 or sep in '"\n\r':
         raise EngineError(f"{sep!r} is no separator")
     rows = _lines(spark, path)
+    doubt = "" if multi_line is None or multi_line else "; or a quote is not closed in a line before"
     if multi_line is None:
         multi_line = not rows.filter(_odd(F.col("value")) == 1).isEmpty()
     if multi_line:
@@ -113,9 +116,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     width = len(schema.fields)
     values = _values(F.col("value"), sep)
     rows = rows.select("value", values.alias("values"))
-    wrong = F.raise_error(F.concat(F.lit(f"not {width} values: "), "value")).cast("array<string>")
+    wrong = F.raise_error(F.concat(F.lit(f"not {width} values: "), "value", F.lit(doubt))).cast("array<string>")
     rows = rows.select(F.when(F.size("values") == width, F.col("values")).otherwise(wrong).alias("values"))
-    return rows.select(*[_typed(F.col("values")[i], f).alias(f.name) for i, f in enumerate(schema.fields)])
+    return rows.select(*[_typed(F.col("values")[i], f, doubt).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def read_csv_with_header(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:

@@ -123,6 +123,27 @@ def test_files_are_split_and_rows_that_span_blocks_are_joined(spark, tmp_path):
     assert rows(read_csv(spark, write(tmp_path, f'1,"{long}""{long}"\n', "long.csv"), schema)) == [(1, f'{long}"{long}')]
 
 
+@pytest.mark.parametrize("inner", ["and, more", "neither", "1,2,3"])
+def test_every_task_names_an_open_quote(spark, tmp_path, inner):
+    """Which of them fails first is left to chance."""
+    schema = parse_schema("i,INT32\ns,STRING")
+    path = write(tmp_path, '1,"a\n' + f"{inner}\n" * 500 + 'b"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = read_csv(spark, path, schema, multi_line=False).rdd
+        assert got.getNumPartitions() > 3
+        for k in range(got.getNumPartitions()):
+            with pytest.raises(Exception, match="a quote is not closed"):
+                spark.sparkContext.runJob(got, list, [k])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for multi_line in (None, True):
+        with pytest.raises(Exception, match="i: no INT32: x") as raised:
+            read_csv(spark, write(tmp_path, "x,y\n", "x.csv"), schema, multi_line=multi_line).collect()
+        assert "quote" not in str(raised.value).splitlines()[0]
+
+
 @pytest.mark.parametrize(("schema", "text"), [
     ("a,INT16\nb,INT16", "1\n"),
     ("a,INT16\nb,INT16", "1,99999\n"),
